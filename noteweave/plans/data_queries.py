@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noteweave.operators.instants import normalise_instants
 from noteweave.operators.references import orphan_references, orphan_report
+from noteweave.operators.shred import entities, kind_name, with_parents
 from noteweave.operators.wide import wide_table
 from noteweave.sources import vault_tables as V
 
@@ -31,6 +32,36 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(orphan_references(V.all_references(spark, sf_dir), V.file_lives(spark, sf_dir)))
 
 
+def _nodes(adj: DataFrame, top: str) -> DataFrame:
+    """The p4_found rows of one adjacency table, whose outermost nodes lie in a ``top``."""
+    flat = entities(adj, labels=V.NODE_LABELS, columns={"line": ("$position.start", "bigint")})
+    flat = flat.withColumn("line", F.when(F.col("kind") == 0, F.lit(-1).cast("bigint")).otherwise(F.col("line")))
+    linked = with_parents(flat, "kind", "line")
+    outer = F.col("parent") < 0
+    return linked.select(
+        F.col("doc").alias("file_path"),
+        F.col("root").alias("card_id"),
+        kind_name(F.col("kind"), V.NODE_KINDS).alias("node_kind"),
+        F.col("line").alias("node_line"),
+        F.when(outer, F.lit(top)).otherwise(kind_name(F.col("parent_kind"), V.NODE_KINDS)).alias("parent_kind"),
+        F.when(outer, F.lit(-1).cast("bigint")).otherwise(F.col("parent_line")).alias("parent_line"),
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every card, section, block and item of all pages and canvases, with its parent."""
+    pages = _nodes(V.page_adjacency(spark, sf_dir, ["$position.start"]), "page")
+    return pages.unionByName(_nodes(V.canvas_adjacency(spark, sf_dir, ["$position.start"]), "canvas"))
+
+
+def p4_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity table of the sections of pages."""
+    adj = V.page_adjacency(spark, sf_dir, ["$title", "$level", "$position.start", "$position.end"])
+    columns = {"title": ("$title", "string"), "level": ("$level", "int"), "line_from": ("$position.start", "bigint"), "line_to": ("$position.end", "bigint")}
+    flat = entities(adj, labels=V.NODE_LABELS, columns=columns).where("kind = 1")
+    return flat.select(F.col("doc").alias("file_path"), "node", "ordinal", *columns)
+
+
 def p5_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every date field with its instant, or why it has none."""
     rows = V.zoned_fields(spark, sf_dir).where("field_type = 'date'")
@@ -42,5 +73,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_instants(spark, sf_dir).where("epoch_ms is not null").select("field_id", "epoch_ms").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_wide, p1_found, p2_found, p2_report, p5_instants, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_wide, p1_found, p2_found, p2_report, p4_found, p4_sections, p5_instants, p5_found)}
 SQL: dict[str, str] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noteweave.common import latest, strip, table
 from noteweave.operators.references import canonical_path
+from noteweave.operators.shred import adjacency
 from noteweave.operators.wide import MAX_COLUMNS, winners
 
 
@@ -80,3 +81,26 @@ def field_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = zoned_fields(spark, sf_dir).withColumnRenamed("field_key", "attribute")
     order = [-F.coalesce("revision", F.lit(-(2**62))), F.when(F.col("origin") == "frontmatter", 0).otherwise(1), F.coalesce("line_no", F.lit(2**31 - 1)), F.col("field_id")]
     return winners(rows, entity="page_path", attribute="attribute", order=order, value=F.col("entry_value"), carry=["zone"])
+
+
+def latest_rows(df: DataFrame, key: str, keep: list[str]) -> DataFrame:
+    """The rows of the highest revision of each ``key``, the last loaded among them, without moving the wide
+    columns through an aggregation. Exact repeats of such a row stay."""
+    newest = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("revision", "loaded_at")).alias("_n"))
+    newest = newest.select(F.col(key).alias("_k"), F.col("_n.revision").alias("_r"), F.col("_n.loaded_at").alias("_l"))
+    same = (F.col(key) == F.col("_k")) & F.col("revision").eqNullSafe(F.col("_r")) & F.col("loaded_at").eqNullSafe(F.col("_l"))
+    return df.select(key, "revision", "loaded_at", *keep).join(newest, same, "left_semi").select(key, *keep)
+
+
+NODE_LABELS = ["$cards", "$sections", "$blocks", "$elements"]
+NODE_KINDS = ["card", "section", "block", "item"]
+
+
+def page_adjacency(spark: SparkSession, sf_dir: str, scalars: list[str]) -> DataFrame:
+    pages = latest_rows(table(spark, sf_dir, "vault_pages"), "page_path", ["sections"])
+    return adjacency(pages, key="page_path", text="sections", label="$sections", lists=["$blocks", "$elements"], scalars=scalars)
+
+
+def canvas_adjacency(spark: SparkSession, sf_dir: str, scalars: list[str]) -> DataFrame:
+    boards = latest_rows(table(spark, sf_dir, "canvases"), "canvas_path", ["cards"])
+    return adjacency(boards, key="canvas_path", text="cards", label="$cards", lists=["$sections", "$blocks", "$elements"], scalars=scalars, root_key="$id")
