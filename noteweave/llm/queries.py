@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noteweave.common import strip, table
 from noteweave.llm.cooccurrence import surprising_pairs
+from noteweave.llm.encoding import encode_corpus
 from noteweave.sources.vault_tables import latest_rows
 
 
@@ -28,7 +29,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("n * 400 >= baskets and 10 * n * baskets > 31 * n_a * n_b").select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"))
 
 
-QUERIES = {f.__name__: f for f in (p3_surprise, p3_found)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_surprise, p3_found, p6_ids)}
 _TAGS = """WITH latest AS (SELECT DISTINCT page_path, tags FROM vault_pages QUALIFY rank() OVER (PARTITION BY page_path ORDER BY revision DESC, loaded_at DESC) = 1),
 t AS (SELECT DISTINCT page_path, lower(trim(regexp_replace(trim(u), '^#+', ''))) AS tag FROM latest, unnest(tags) AS x(u)),
 s AS (SELECT page_path, tag FROM t WHERE tag <> ''),
