@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from noteweave.common import strip, table
 from noteweave.llm.cooccurrence import surprising_pairs
 from noteweave.llm.encoding import encode_corpus
+from noteweave.llm.leakage import find_leaks
+from noteweave.llm.truncation import find_truncated
 from noteweave.sources.vault_tables import latest_rows
 
 
@@ -34,7 +36,28 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_surprise, p3_found, p6_ids)}
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items that they leak, exactly or with replaced words."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold twenty consecutive words of a test item."""
+    return p7_leaks(spark, sf_dir).where("exact_words >= 20").select("doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return find_truncated(table(spark, sf_dir, "documents")).where("probability > 0.5").select("doc_id").distinct()
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, cut texts and their share by source."""
+    judged = find_truncated(table(spark, sf_dir, "documents"))
+    return judged.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("probability") > 0.5).alias("cut")).withColumn("share", F.col("cut") / F.col("n"))
+
+
+QUERIES = {f.__name__: f for f in (p3_surprise, p3_found, p6_ids, p7_leaks, p7_found, p8_found, p8_report)}
 _TAGS = """WITH latest AS (SELECT DISTINCT page_path, tags FROM vault_pages QUALIFY rank() OVER (PARTITION BY page_path ORDER BY revision DESC, loaded_at DESC) = 1),
 t AS (SELECT DISTINCT page_path, lower(trim(regexp_replace(trim(u), '^#+', ''))) AS tag FROM latest, unnest(tags) AS x(u)),
 s AS (SELECT page_path, tag FROM t WHERE tag <> ''),
