@@ -10,6 +10,7 @@ of texts at no special length, gives the prior odds.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,6 +25,7 @@ from noteweave.llm.discovery import with_q_values
 # Marks that a cut leaves at the very end, and block sizes of storage and transfer.
 MARKS = ["…", "[cut]", "[truncated]", "[...]", "<truncated>", "�"]
 BLOCKS = [512, 1000, 1024, 4096]
+_MARK_END = r"(?: ?(?:\.\.\.|" + "|".join(re.escape(m) for m in MARKS) + "))+$"
 
 #: Lengths at most so far away are neighbours.
 REACH = 64
@@ -33,12 +35,14 @@ FALSE_DISCOVERIES = 0.01
 TRIAL_CUTS = 4
 #: First guesses of the share of cut texts, and of whole texts that lack their last line end.
 FIRST_RATE, LACKING = 0.02, 0.15
+#: Log odds that no mark, three dots and any other mark at the very end add.
+MARK_WEIGHTS = [0.0, 3.0, 7.0]
 #: Characters of the ending that its shape is taken from.
 _TAIL = 400
 
 
-def _ending(tail: Column, whole_line: Column) -> Column:
-    """struct<nl,shape,word> of the last characters of a text. ``whole_line``: whether they reach back to its start."""
+def _ending(tail: Column) -> Column:
+    """struct<nl,shape,word> of the last characters of a text."""
 
     def of(core: Column) -> Column:
         line = F.substring_index(core, "\n", -1)
@@ -55,12 +59,15 @@ def _features(docs: DataFrame, key: str, text: str, source: str, lang: str) -> D
     """A row per text that isn't blank: its lengths, its ending, and how it ends where it is cut on trial."""
     body = docs.where(strip(F.col(text)) != "").select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("t"))
     chars = F.length("t")
-    mark = reduce(lambda a, m: a | F.col("t").endswith(m), MARKS[1:], F.col("t").endswith(MARKS[0])) | F.col("t").rlike(r"[^\s.]\.\.\.$")
+    sure = reduce(lambda a, m: a | F.col("t").endswith(m), MARKS[1:], F.col("t").endswith(MARKS[0]))
+    mark = F.when(sure, 2).when(F.col("t").rlike(r"[^\s.]\.\.\.$"), 1).otherwise(0)
+    tail = F.right("t", F.lit(_TAIL))
+    tail = F.when(mark > 0, F.regexp_replace(tail, _MARK_END, "")).otherwise(tail)
     places = F.array(*(1 + F.pmod(F.xxhash64("t", F.lit(i)), F.greatest(chars - 1, F.lit(1))) for i in range(TRIAL_CUTS)))
-    cuts = F.transform(places, lambda p: _ending(F.substring(F.col("t"), F.greatest(p - _TAIL + 1, F.lit(1)).cast("int"), F.least(p, F.lit(_TAIL)).cast("int")), p <= _TAIL))
+    cuts = F.transform(places, lambda p: _ending(F.substring(F.col("t"), F.greatest(p - _TAIL + 1, F.lit(1)).cast("int"), F.least(p, F.lit(_TAIL)).cast("int"))))
     return body.select(
         "key", "source", "lang", chars.cast("long").alias("chars"), F.octet_length("t").cast("long").alias("bytes"), F.xxhash64("t").alias("content"), mark.alias("mark"),
-        _ending(F.right("t", F.lit(_TAIL)), chars <= _TAIL).alias("end"), cuts.alias("cuts"),
+        _ending(tail).alias("end"), cuts.alias("cuts"),
     )
 
 
@@ -122,12 +129,12 @@ def _log_factorial(x: float) -> float:
 def _ending_odds(features: DataFrame) -> DataFrame:
     """key, odds: how much likelier each ending is for a text cut anywhere than for a whole one.
 
-    Texts that end with a line end teach how whole texts end, and trial cuts of them how cut texts do. Whole
+    Texts that end with a line end teach how whole texts end, and trial cuts of all texts how cut texts do. Whole
     texts without a last line end have endings of their own (minified code never has one): so texts without
     it also teach, with the weight of being whole that a first round gives their ending.
     """
-    ended = features.groupBy("lang", F.col("end.shape").alias("shape")).agg(F.count_if("end.nl").alias("closed"), F.count_if(~F.col("end.nl")).alias("open"))
-    trial = features.where("end.nl").select("lang", F.explode("cuts").alias("c"))
+    ended = features.where("mark = 0").groupBy("lang", F.col("end.shape").alias("shape")).agg(F.count_if("end.nl").alias("closed"), F.count_if(~F.col("end.nl")).alias("open"))
+    trial = features.select("lang", F.explode("cuts").alias("c"))
     cut = trial.groupBy("lang", F.col("c.shape").alias("shape")).agg(F.count_if(F.col("c.nl")).alias("cut_closed"), F.count_if(~F.col("c.nl")).alias("cut_open"))
     table = ended.join(cut, ["lang", "shape"], "full").na.fill(0)
     table = table.withColumns({"cut_all": F.col("cut_open") + F.col("cut_closed")})
@@ -190,7 +197,7 @@ def find_truncated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     at = at.groupBy("key").agg(F.max(F.struct("limit_odds", "unit")).alias("limit"))
     ends = shelve(_ending_odds(features), "odds")
     words = ends.where("word <> ''").select("word").distinct()
-    judged = ends.join(_word_odds(docs, text, words), "word", "left").select("key", (F.log("odds") + F.coalesce(F.log("word_odds"), F.lit(0.0)) + F.when(F.col("mark"), 7.0).otherwise(0.0)).alias("log_odds"))
+    judged = ends.join(_word_odds(docs, text, words), "word", "left").select("key", (F.log("odds") + F.coalesce(F.log("word_odds"), F.lit(0.0)) + F.element_at(F.array(*map(F.lit, MARK_WEIGHTS)), F.col("mark") + 1)).alias("log_odds"))
     judged = shelve(features.select("key", "source").join(judged, "key").join(at, "key", "left"), "judged")
     bins = judged.where("limit is null").groupBy("source", F.round("log_odds", 1).alias("log_odds")).agg(F.count("*").alias("n"))
     rates = bins.groupBy("source").applyInPandas(fit_rates, "source string, rate double")
