@@ -104,12 +104,13 @@ def entities(adj: DataFrame, *, labels: Iterable[str], columns: dict[str, tuple[
 
     ``kind`` is the position of the node's label in ``labels``. ``columns`` maps a name to the scalar path
     and SQL type that fill it; a scalar of another type gives null. Exact repeats of a document fold
-    together here.
+    together here; a document without a key has no nodes.
     """
     is_node = F.col("scalar").isNull()
     own = adj.withColumn("owner", F.when(is_node, F.col("node")).otherwise(F.col("parent")))
     code = F.coalesce(*(F.when(F.col("label") == name, i) for i, name in enumerate(labels)))
     pivot = [F.max(F.when(~is_node & (F.col("label") == path), F.col("scalar").try_cast(kind))).alias(name) for name, (path, kind) in columns.items()]
+    own = own.where(F.col("doc").isNotNull() & F.col("owner").isNotNull())
     return own.groupBy("doc", "root", F.col("owner").alias("node")).agg(
         F.max(F.when(is_node, F.col("parent"))).alias("parent"), F.max(F.when(is_node, code)).alias("kind"), F.max(F.when(is_node, F.col("ordinal"))).alias("ordinal"), *pivot
     )
@@ -117,9 +118,11 @@ def entities(adj: DataFrame, *, labels: Iterable[str], columns: dict[str, tuple[
 
 def with_parents(nodes: DataFrame, *columns: str) -> DataFrame:
     """``nodes`` with ``parent_<column>`` of the parent node; null for outermost nodes."""
-    up = nodes.select(F.col("doc").alias("_doc"), F.col("root").alias("_root"), F.col("node").alias("_node"), *(F.col(c).alias(f"parent_{c}") for c in columns))
+    up = nodes.select(F.col("doc").alias("_doc"), F.col("root").alias("_root"), F.col("node").alias("_node"), F.col("parent").alias("_grand"), *(F.col(c).alias(f"parent_{c}") for c in columns))
     same = (F.col("doc") == F.col("_doc")) & F.col("root").eqNullSafe(F.col("_root")) & (F.col("parent") == F.col("_node"))
-    return nodes.join(up, same, "left").drop("_doc", "_root", "_node")
+    # a parent is always numbered before its children; asking for it keeps both sides' columns alike, so
+    # that the shuffle of the nodes is made once and read twice
+    return nodes.join(up, same & (F.col("_grand") < F.col("node")), "left").drop("_doc", "_root", "_node", "_grand")
 
 
 def kind_name(c: Column, names: list[str]) -> Column:
