@@ -349,7 +349,7 @@ def parse_files(files: DataFrame, revision: int = 0) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(OBJECTS), timezone="UTC")
+    schema = to_arrow_schema(StructType.fromDDL(OBJECTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,13 +367,16 @@ def parse_files(files: DataFrame, revision: int = 0) -> DataFrame:
 
 
 def read_vault(spark: SparkSession, folder: str, revision: int = 0) -> DataFrame:
-    """The objects of all files below ``folder``. Content is read for markdown and canvas files only."""
+    """The objects of all files below ``folder``. Content is read for markdown and canvas files only.
+
+    Spark's file sources pass over files of no bytes, so an empty file is no object here.
+    """
     root = folder.rstrip("/").removeprefix("file:").lstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    raw = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     relative = F.regexp_replace("path", r"^(?:\w+:)?/*\Q" + root + r"\E", "")
     common = [relative.alias("path"), F.col("modificationTime").alias("ctime"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")]
-    text = raw.option("pathGlobFilter", "*.{md,markdown,canvas}").load(folder).select(*common, F.decode("content", "UTF-8").alias("content"))
-    other = raw.load(folder).where(~F.lower("path").rlike(r"\.(md|markdown|canvas)$")).select(*common, F.lit(None).cast("string").alias("content"))
+    text = raw().option("pathGlobFilter", "*.{md,markdown,canvas}").load(folder).select(*common, F.decode("content", "UTF-8").alias("content"))
+    other = raw().load(folder).where(~F.lower("path").rlike(r"\.(md|markdown|canvas)$")).select(*common, F.lit(None).cast("string").alias("content"))
     return parse_files(text.unionByName(other), revision)
 
 
