@@ -91,7 +91,7 @@ def blocks(items: Iterable[tuple], most: int = BLOCK_WORDS) -> Iterator[list[tup
             yield held
             held, size = [], 0
         held.append((item_id, ws))
-        size += len(ws)
+        size += max(1, len(ws))
     if held:
         yield held
 
