@@ -192,7 +192,9 @@ def find_truncated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     features = shelve(_features(docs, key, text, source, lang), "endings")
     hazards = length_hazards(features, reach=reach)
-    limits = hazards.where((F.col("q_value") <= false_discoveries) & (F.col("n") > 2 * F.col("expected"))).select("source", "unit", "length", (F.col("n") / F.col("expected") - 1).alias("limit_odds"))
+    # odds of a cut at such a length, from the least excess that two standard errors leave; a handful of texts proves no habit
+    odds = (F.col("n") - F.col("expected") - 2 * F.sqrt("n")) / (F.col("expected") + 0.5)
+    limits = hazards.where((F.col("q_value") <= false_discoveries) & (odds > 1)).select("source", "unit", "length", odds.alias("limit_odds"))
     at = features.select("key", "source", F.explode(_units(features)).alias("u")).select("key", "source", "u.unit", "u.length").join(limits, ["source", "unit", "length"])
     at = at.groupBy("key").agg(F.max(F.struct("limit_odds", "unit")).alias("limit"))
     ends = shelve(_ending_odds(features), "odds")
