@@ -74,4 +74,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_wide, p1_found, p2_found, p2_report, p4_found, p4_sections, p5_instants, p5_found)}
-SQL: dict[str, str] = {}
+_ORPHANS = r"""WITH c0 AS (SELECT DISTINCT canvas_path, mtime, CASE WHEN json_valid(cards) THEN (CASE json_type(cards) WHEN 'VARCHAR' THEN cards::JSON->>'$' ELSE cards END) END AS cards
+  FROM (SELECT * FROM canvases QUALIFY rank() OVER (PARTITION BY canvas_path ORDER BY revision DESC, loaded_at DESC) = 1)),
+c1 AS (SELECT canvas_path, mtime, unnest(CASE WHEN json_type(cards) = 'ARRAY' THEN json_extract(cards, '$[*]') ELSE json_extract(cards, '$.*') END) AS card FROM c0 WHERE cards IS NOT NULL),
+refs AS (SELECT 'page_links' AS ref_table, page_path AS ref_file, link_id::VARCHAR AS ref_key, link_path AS p, seen_at AS t0 FROM page_links UNION SELECT 'canvases', canvas_path, card->>'$."$id"', card->>'$."$linkedFile"', mtime FROM c1),
+n AS (SELECT *, lower(regexp_replace(trim(url_decode(trim(p))), '^(\./|/)+', '')) AS b FROM refs WHERE p IS NOT NULL),
+k AS (SELECT *, CASE WHEN regexp_matches(b, '\.[^./\s]+$') THEN b ELSE concat(b, '.md') END AS key FROM n WHERE b <> ''),
+f AS (SELECT lower(file_path) AS key, ctime, deleted_at FROM vault_files QUALIFY row_number() OVER (PARTITION BY file_path, ctime ORDER BY loaded_at DESC) = 1),
+o AS (SELECT ref_table, ref_file, ref_key, t0, count(f.key) AS c, min(f.ctime) AS m, bool_or(f.ctime <= t0 AND (f.deleted_at IS NULL OR f.deleted_at > t0)) AS alive FROM k LEFT JOIN f USING (key) GROUP BY ALL),
+r AS (SELECT *, CASE WHEN c = 0 THEN 'missing' WHEN m > t0 THEN 'late' ELSE 'deleted' END AS orphan_kind FROM o WHERE NOT coalesce(alive, false))
+"""
+SQL: dict[str, str] = {
+    "p2_found": _ORPHANS + "SELECT ref_table, ref_file, ref_key, orphan_kind FROM r",
+    "p2_report": _ORPHANS + "SELECT ref_table, strftime(t0, '%Y-%m') AS month, orphan_kind, count(*) AS n FROM r GROUP BY ALL",
+}
