@@ -22,6 +22,8 @@ class EvaluationError(ValueError):
 FUNCTIONS: dict[str, Callable[..., Any]] = {}
 #: Per function, the numbers of arguments and the positions whose arrays are mapped over.
 VECTOR: dict[str, dict[int, tuple[int, ...]]] = {}
+#: Functions of users' own, which plans send to the workers.
+OWN: dict[str, tuple[Callable[..., Any], dict[int, tuple[int, ...]] | None]] = {}
 
 
 def function(*names: str, over: dict[int, tuple[int, ...]] | None = None) -> Callable:
@@ -37,6 +39,15 @@ def function(*names: str, over: dict[int, tuple[int, ...]] | None = None) -> Cal
     return add
 
 
+def add_own(own: dict[str, tuple[Callable[..., Any], dict[int, tuple[int, ...]] | None]]) -> None:
+    for name, (f, over) in own.items():
+        OWN[name] = (f, over)
+        FUNCTIONS[name] = f
+        VECTOR.pop(name, None)
+        if over:
+            VECTOR[name] = over
+
+
 def call(name: str, args: list[Any]) -> Any:
     f = FUNCTIONS.get(name.lower())
     if f is None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noteweave.common import shelve
-from noteweave.functions.interpreter import EvaluationError, Evaluator
+from noteweave.functions.interpreter import OWN, EvaluationError, Evaluator, add_own
 from noteweave.functions.literals import Link, loads, normal_header, truthy
 from noteweave.plans import ast as A
 from noteweave.plans.expressions import Compiler, NotStatic, Val, constant, kind_of_type, of_type, sortable
@@ -232,9 +232,10 @@ class Planner:
     def _dynamic(self, n: A.Node, free: list[str]) -> Column:
         """The truth of an expression whose kinds differ by row, by the interpreter in Arrow batches."""
         names = [(x, f.column) for x in free if (f := self.store.field(x))]
-        this, with_json = self.this or {}, self.store.json_fields
+        this, with_json, own_functions = self.this or {}, self.store.json_fields, dict(OWN)
 
         def holds(values, extra):
+            add_own(own_functions)
             env = {**(values.asDict(True) if values is not None else {}), "this": this}
             for k, v in (extra or {}).items():
                 env.setdefault(k, loads(v) if v is not None else None)

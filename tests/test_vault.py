@@ -152,6 +152,35 @@ def test_interface(spark, objects):
     assert e.array(e.query("@page")).sort(F.col("name"), "desc").limit(1).array()[0]["name"] == "Shogi"
 
 
+def test_expanding_children(spark, objects):
+    e = Engine(vault_store(objects))
+    levels = {r["id"]: r["level"] for r in e.expand('id("Games/Chess.md")', 3).collect()}
+    assert levels[CHESS] == 0 and levels[RULES] == 1 and levels["Games/Chess.md/list12"] == 3 and "Games/Chess.md/list13" not in levels
+    assert {r["root"] for r in e.expand("@list-block").collect()} == {r["id"] for r in e.query("@list-block").collect()}
+
+
+def test_functions_of_ones_own(objects):
+    import sys
+    from types import ModuleType
+
+    from noteweave.functions.registry import Modules, register, unregister
+
+    register("twice", lambda x: x * 2, over={1: (0,)})
+    e = Engine(vault_store(objects))
+    assert e.evaluate("twice([1, 2])") == [2, 4]
+    assert [r["id"] for r in e.query("@page and twice(rating) = 14").select("id").collect()] == ["Games/Go.md"]
+    unregister("twice")
+    a, b = ModuleType("nw_a"), ModuleType("nw_b")
+    a.FUNCTIONS, a.REQUIRES, b.REQUIRES = {"three": lambda: 3.0}, ("nw_b",), ("nw_a",)
+    sys.modules |= {"nw_a": a, "nw_b": b}
+    with pytest.raises(ImportError):
+        Modules().require("nw_a")
+    b.REQUIRES = ()
+    Modules().require("nw_a")
+    assert e.evaluate("three() + 1") == 4
+    unregister("three")
+
+
 @pytest.mark.parametrize("line,keys", [
     ("[key:: value] and so, [key2:: value2]", ["key", "key2"]), ("[[[[hello:: 16]]", ["hello"]), ("(a:: [x] y) z", ["a"]), (r"\[no:: 1] [yes:: 2]", ["yes"]), ("**Bold key**:: 5", ["Bold key"]), ("- item:: 3", ["item"]), ("no field", []), ("::", []), ("[a:: 1] b:: 2", ["a"]),
 ])
