@@ -37,6 +37,8 @@ TRIAL_CUTS = 4
 FIRST_RATE, LACKING = 0.02, 0.15
 #: Log odds that no mark, three dots and any other mark at the very end add.
 MARK_WEIGHTS = [0.0, 3.0, 7.0]
+#: Share of the weight of shapes seen once that any one new shape has.
+NEW = 0.01
 #: Characters of the ending that its shape is taken from.
 _TAIL = 400
 
@@ -131,7 +133,7 @@ def _ending_odds(features: DataFrame) -> DataFrame:
 
     Texts that end with a line end teach how whole texts end, and trial cuts of all texts how cut texts do. Whole
     texts without a last line end have endings of their own (minified code never has one): so texts without
-    it also teach, with the weight of being whole that a first round gives their ending.
+    it also teach, with the weight of being whole that a first round gives their ending, but none about itself.
     """
     ended = features.where("mark = 0").groupBy("lang", F.col("end.shape").alias("shape")).agg(F.count_if("end.nl").alias("closed"), F.count_if(~F.col("end.nl")).alias("open"))
     trial = features.select("lang", F.explode("cuts").alias("c"))
@@ -141,16 +143,19 @@ def _ending_odds(features: DataFrame) -> DataFrame:
     shape, lang, every = Window.partitionBy("shape"), Window.partitionBy("lang"), F.broadcast
 
     def shares(t: DataFrame, *names: str, out_of: dict[str, str] | None = None) -> DataFrame:
-        """``p_<name>``: the share of a shape within its language, drawn towards its share in all."""
+        """``p_<name>``: the share of a shape within its language, drawn towards its share in all, and for shapes
+        never seen by how often shapes are new: the number of those seen once."""
         out_of = {n: (out_of or {}).get(n, n) for n in names}
-        totals = t.agg(*(F.sum(c).alias(f"_t_{c}") for c in set(out_of.values())))  # one row
+        by_shape = t.groupBy("shape").agg(*(F.sum(c).alias(c) for c in {*out_of, *out_of.values()}))
+        once = [F.count_if((F.col(n) > 0) & (F.col(n) <= 1)).alias(f"_s_{n}") for n in out_of]
+        totals = by_shape.agg(*(F.greatest(F.sum(c), F.lit(1)).alias(f"_t_{c}") for c in set(out_of.values())), *once)  # one row
         t = t.crossJoin(every(totals))
         return t.select("*", *(
-            (0.9 * F.col(n) / F.greatest(F.sum(of).over(lang), F.lit(1)) + 0.1 * (F.sum(n).over(shape) + 0.2) / (F.col(f"_t_{of}") + 200)).alias(f"p_{n}") for n, of in out_of.items()
-        )).drop(*(f"_t_{c}" for c in set(out_of.values())))
+            (0.9 * F.col(n) / F.greatest(F.sum(of).over(lang), F.lit(1)) + 0.1 * F.sum(n).over(shape) / F.col(f"_t_{of}") + NEW * (F.col(f"_s_{n}") + 1) / F.col(f"_t_{of}")).alias(f"p_{n}") for n, of in out_of.items()
+        )).drop(*(f"_t_{c}" for c in set(out_of.values())), *(f"_s_{n}" for n in out_of))
 
     first = shares(table, "closed", "cut_open", "cut_closed", out_of={"cut_open": "cut_all", "cut_closed": "cut_all"})
-    first = first.withColumn("open_whole", F.col("open") / (1 + FIRST_RATE * F.col("p_cut_open") / (LACKING * F.col("p_closed"))))
+    first = first.withColumn("open_whole", F.greatest(F.col("open") - 1, F.lit(0)) / (1 + FIRST_RATE * F.col("p_cut_open") / (LACKING * F.col("p_closed"))))
     first = shelve(first.withColumn("lacking", F.col("open_whole") + LACKING * F.col("closed")), "shapes")
     lack = first.agg((F.sum("open_whole") / (F.sum("open_whole") + F.sum("closed"))).alias("r")).select(F.least(F.greatest("r", F.lit(0.02)), F.lit(0.98)).alias("r"))  # one row
     model = shares(first, "lacking").crossJoin(every(lack)).select(
