@@ -139,27 +139,28 @@ def _ending_odds(features: DataFrame) -> DataFrame:
     trial = features.select("lang", F.explode("cuts").alias("c"))
     cut = trial.groupBy("lang", F.col("c.shape").alias("shape")).agg(F.count_if(F.col("c.nl")).alias("cut_closed"), F.count_if(~F.col("c.nl")).alias("cut_open"))
     table = ended.join(cut, ["lang", "shape"], "full").na.fill(0)
-    table = table.withColumns({"cut_all": F.col("cut_open") + F.col("cut_closed")})
-    shape, lang, every = Window.partitionBy("shape"), Window.partitionBy("lang"), F.broadcast
+    table = shelve(table.withColumns({"cut_all": F.col("cut_open") + F.col("cut_closed")}), "shapes")
+    shape, lang = Window.partitionBy("shape"), Window.partitionBy("lang")
 
     def shares(t: DataFrame, *names: str, out_of: dict[str, str] | None = None) -> DataFrame:
         """``p_<name>``: the share of a shape within its language, drawn towards its share in all, and for shapes
         never seen by how often shapes are new: the number of those seen once."""
         out_of = {n: (out_of or {}).get(n, n) for n in names}
         by_shape = t.groupBy("shape").agg(*(F.sum(c).alias(c) for c in {*out_of, *out_of.values()}))
-        once = [F.count_if((F.col(n) > 0) & (F.col(n) <= 1)).alias(f"_s_{n}") for n in out_of]
-        totals = by_shape.agg(*(F.greatest(F.sum(c), F.lit(1)).alias(f"_t_{c}") for c in set(out_of.values())), *once)  # one row
-        t = t.crossJoin(every(totals))
+        once = [F.count_if((F.col(n) > 0) & (F.col(n) <= 1)).alias(f"s_{n}") for n in out_of]
+        total = by_shape.agg(*(F.sum(c).alias(f"t_{c}") for c in set(out_of.values())), *once).collect()[0]  # one row
+        t_of = {n: max(float(total[f"t_{of}"] or 0), 1.0) for n, of in out_of.items()}
         return t.select("*", *(
-            (0.9 * F.col(n) / F.greatest(F.sum(of).over(lang), F.lit(1)) + 0.1 * F.sum(n).over(shape) / F.col(f"_t_{of}") + NEW * (F.col(f"_s_{n}") + 1) / F.col(f"_t_{of}")).alias(f"p_{n}") for n, of in out_of.items()
-        )).drop(*(f"_t_{c}" for c in set(out_of.values())), *(f"_s_{n}" for n in out_of))
+            (0.9 * F.col(n) / F.greatest(F.sum(of).over(lang), F.lit(1)) + 0.1 * F.sum(n).over(shape) / t_of[n] + NEW * (total[f"s_{n}"] + 1) / t_of[n]).alias(f"p_{n}") for n, of in out_of.items()
+        ))
 
     first = shares(table, "closed", "cut_open", "cut_closed", out_of={"cut_open": "cut_all", "cut_closed": "cut_all"})
     first = first.withColumn("open_whole", F.greatest(F.col("open") - 1, F.lit(0)) / (1 + FIRST_RATE * F.col("p_cut_open") / (LACKING * F.col("p_closed"))))
-    first = shelve(first.withColumn("lacking", F.col("open_whole") + LACKING * F.col("closed")), "shapes")
-    lack = first.agg((F.sum("open_whole") / (F.sum("open_whole") + F.sum("closed"))).alias("r")).select(F.least(F.greatest("r", F.lit(0.02)), F.lit(0.98)).alias("r"))  # one row
-    model = shares(first, "lacking").crossJoin(every(lack)).select(
-        "lang", "shape", (F.col("p_cut_open") / (F.col("p_lacking") * F.col("r"))).alias("open_odds"), (F.col("p_cut_closed") / (F.col("p_closed") * (1 - F.col("r")))).alias("closed_odds")
+    first = shelve(first.withColumn("lacking", F.col("open_whole") + LACKING * F.col("closed")), "lacking")
+    held = first.agg(F.sum("open_whole").alias("open"), F.sum("closed").alias("closed")).collect()[0]  # one row
+    lack = min(max((held["open"] or 0) / max((held["open"] or 0) + (held["closed"] or 0), 1), 0.02), 0.98)
+    model = shares(first, "lacking").select(
+        "lang", "shape", (F.col("p_cut_open") / (F.col("p_lacking") * lack)).alias("open_odds"), (F.col("p_cut_closed") / (F.col("p_closed") * (1 - lack))).alias("closed_odds")
     )
     ends = features.select("key", "lang", "mark", "end.nl", "end.shape", "end.word")
     odds = F.when(F.col("nl"), F.coalesce("closed_odds", F.lit(0.1))).otherwise(F.coalesce("open_odds", F.lit(20.0)))
@@ -170,10 +171,10 @@ def _word_odds(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
     """word, word_odds: how much likelier it is to stop in or after ``word`` by a cut than at its end by intent."""
     tokens = docs.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
     tokens = shelve(tokens, "tokens")
-    parts = tokens.select("n", F.col("token"), F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i")).select("n", F.left("token", F.col("i")).alias("word"), (F.col("i") == F.length("token")).alias("full"))
-    mean = tokens.agg((F.sum(F.length("token") * F.col("n")) / F.sum("n")).alias("mean"))  # one row
+    parts = tokens.select("n", F.col("token"), F.explode(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(_TAIL)))).alias("i")).select("n", F.left("token", F.col("i")).alias("word"), (F.col("i") == F.length("token")).alias("full"))
+    mean = tokens.agg(F.sum(F.length("token") * F.col("n")) / F.sum("n")).collect()[0][0] or 1.0  # one value
     counts = parts.join(words, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("any"), F.sum(F.when(F.col("full"), F.col("n")).otherwise(0)).alias("whole"))
-    return counts.crossJoin(F.broadcast(mean)).select("word", (F.greatest(F.col("any") - 0.5, F.lit(0.5)) / F.greatest(F.col("whole") - 0.5, F.lit(0.5)) / F.col("mean")).alias("word_odds"))
+    return counts.select("word", (F.greatest(F.col("any") - 0.5, F.lit(0.5)) / F.greatest(F.col("whole") - 0.5, F.lit(0.5)) / mean).alias("word_odds"))
 
 
 def fit_rates(counts: pd.DataFrame, *, rounds: int = 500) -> pd.DataFrame:
