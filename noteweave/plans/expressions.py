@@ -474,13 +474,13 @@ class Compiler:
         raise TypeError(f"no index of {v.name}")
 
     def filter(self, n: A.Node, env: dict[str, Any] | None = None) -> Column:
-        """The truth of an expression as a filter, in a form that scans can take where there is one."""
+        """The truth of an expression as a filter, never null, in a form that scans can take where there is one."""
         env = env or {}
         if isinstance(n, A.Bin) and n.op in ("&", "|"):
             x, y = self.filter(n.left, env), self.filter(n.right, env)
             return x & y if n.op == "&" else x | y
         if isinstance(n, A.Not):
-            return ~F.coalesce(self.filter(n.value, env), F.lit(False))
+            return ~self.filter(n.value, env)
         if isinstance(n, A.Bin) and n.op in ("<", "<=", ">", ">=", "=", "!="):
             a, b = self.value(n.left, env), self.value(n.right, env)
             if (c := pushable(n.op, a, b)) is not None:

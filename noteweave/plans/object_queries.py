@@ -113,7 +113,7 @@ _rows("op_date_diff", "orders", "o_orderkey", {"y": "(o_orderdate - date(1990-01
 _rows("op_array_concat", "part", "p_partkey", {"n": "length(split(p_name, \" \") + [p_type])", "last": "(split(p_name, \" \") + [p_type])[2]"}, "(len(string_split(p_name, ' ')) + 1)::DOUBLE AS n, list_append(string_split(p_name, ' '), p_type)[3] AS last")
 _rows("op_object_merge", "part", "p_partkey", {"a": "({n: p_name, s: p_size} + {s: 1}).s", "b": "({n: p_name} + {s: 1}).n"}, "1.0::DOUBLE AS a, p_name AS b")
 _rows("op_index_array", "embeddings", "vec_id", {"a": "embedding[0]", "b": "embedding[64]", "c": "embedding[63]"}, "embedding[1]::DOUBLE AS a, NULL::DOUBLE AS b, embedding[64]::DOUBLE AS c")
-_rows("op_index_object", "part", "p_partkey", {"a": '{x: p_name}["X"]', "b": "{x: p_name}.y"}, "p_name AS a, NULL AS b")
+_rows("op_index_object", "part", "p_partkey", {"a": '{x: p_name}["X"]', "b": 'default({x: p_name}.y, "none")'}, "p_name AS a, 'none' AS b")
 _rows("op_index_date", "events", "event_id", {k: f"ts.{k}" for k in ("year", "month", "day", "hour", "minute", "second", "week")}, ", ".join(f"{k}(ts)::DOUBLE AS {k}" for k in ("year", "month", "day", "hour", "minute", "second", "week")))
 _rows("op_truthy", "events", "event_id", {"a": "!value", "b": "!props", "c": "!ts", "d": "!missing"}, "value = 0 AS a, props = '' AS b, false AS c, true AS d")
 
@@ -142,7 +142,7 @@ _rows("fn_list_object_extract", "part", "p_partkey", {"a": "list(p_size, 1)[0]",
 _rows("fn_link_meta", "part", "p_partkey", {"a": 'meta(link(p_name + "#^x", "shown")).path', "b": 'meta(link(p_name + "#^x")).type', "c": "meta(embed(link(p_name))).embed"}, "p_name AS a, 'block' AS b, true AS c")
 _rows("fn_date", "orders", "o_orderkey", {"a": 'date("2020-01-05")', "b": "striptime(o_orderdate + dur(5h))", "c": 'date(dateformat(o_orderdate, "yyyy-MM-dd"))', "d": "localtime(o_orderdate)"}, "TIMESTAMP '2020-01-05' AS a, date_trunc('day', o_orderdate) AS b, date_trunc('day', o_orderdate) AS c, o_orderdate AS d")
 _rows("fn_dateformat", "events", "event_id", {"a": 'dateformat(ts, "yyyy/MM/dd HH:mm")', "b": 'dateformat(ts, "cccc")'}, "strftime(ts, '%Y/%m/%d %H:%M') AS a, strftime(ts, '%A') AS b")
-_rows("fn_dur", "part", "p_partkey", {"a": 'dur(p_size + " hours, 5 min").hours', "b": "(dur(90m) * p_size).minutes", "c": 'dur(p_name)'}, "p_size::DOUBLE AS a, p_size * 90.0::DOUBLE AS b, NULL AS c")
+_rows("fn_dur", "part", "p_partkey", {"a": 'dur(p_size + " hours, 5 min").hours', "b": "(dur(90m) * p_size).minutes", "c": "dur(p_name) = null"}, "p_size::DOUBLE AS a, p_size * 90.0::DOUBLE AS b, NULL::BOOLEAN AS c")
 _rows("fn_vectorised", "part", "p_partkey", {"a": 'join(upper(split(p_name, " ")), " ")', "b": 'join(replace(split(p_name, " "), "e", ["1", "2"]), " ")'}, "upper(p_name) AS a, concat(replace(split_part(p_name, ' ', 1), 'e', '1'), ' ', replace(split_part(p_name, ' ', 2), 'e', '2')) AS b")
 _rows("fn_hash", "nation", "n_nationkey", {"h": 'hash(n_regionkey) >= 0'}, "true AS h")
 

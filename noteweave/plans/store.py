@@ -172,7 +172,7 @@ class Planner:
                 out = out & self._predicate(x) if isinstance(q, A.And) else out | self._predicate(x)
             return out
         if isinstance(q, A.NotQ):
-            return ~F.coalesce(self._predicate(q.item), F.lit(False))
+            return ~self._predicate(q.item)
         raise TypeError(q)
 
     def _equals(self, q: A.FieldEquals) -> Column:
