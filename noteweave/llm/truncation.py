@@ -129,7 +129,7 @@ def _log_factorial(x: float) -> float:
 
 
 def _ending_odds(features: DataFrame) -> DataFrame:
-    """key, odds: how much likelier each ending is for a text cut anywhere than for a whole one.
+    """key, source, mark, word, odds: how much likelier each ending is for a text cut anywhere than for a whole one.
 
     Texts that end with a line end teach how whole texts end, and trial cuts of all texts how cut texts do. Whole
     texts without a last line end have endings of their own (minified code never has one): so texts without
@@ -162,9 +162,9 @@ def _ending_odds(features: DataFrame) -> DataFrame:
     model = shares(first, "lacking").select(
         "lang", "shape", (F.col("p_cut_open") / (F.col("p_lacking") * lack)).alias("open_odds"), (F.col("p_cut_closed") / (F.col("p_closed") * (1 - lack))).alias("closed_odds")
     )
-    ends = features.select("key", "lang", "mark", "end.nl", "end.shape", "end.word")
+    ends = features.select("key", "source", "lang", "mark", "end.nl", "end.shape", "end.word")
     odds = F.when(F.col("nl"), F.coalesce("closed_odds", F.lit(0.1))).otherwise(F.coalesce("open_odds", F.lit(20.0)))
-    return ends.join(model, ["lang", "shape"], "left").select("key", "mark", "word", odds.alias("odds"))
+    return ends.join(model, ["lang", "shape"], "left").select("key", "source", "mark", "word", odds.alias("odds"))
 
 
 def _word_odds(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
@@ -205,8 +205,10 @@ def find_truncated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     at = at.groupBy("key").agg(F.max(F.struct("limit_odds", "unit")).alias("limit"))
     ends = shelve(_ending_odds(features), "odds")
     words = ends.where("word <> ''").select("word").distinct()
-    judged = ends.join(_word_odds(docs, text, words), "word", "left").select("key", (F.log("odds") + F.coalesce(F.log("word_odds"), F.lit(0.0)) + F.element_at(F.array(*map(F.lit, MARK_WEIGHTS)), F.col("mark") + 1)).alias("log_odds"))
-    judged = shelve(features.select("key", "source").join(judged, "key").join(at, "key", "left"), "judged")
+    # texts that don't stop in a word, which are most, take no part in the join
+    stopped = ends.where("word <> ''").join(_word_odds(docs, text, words), "word", "left")
+    judged = stopped.unionByName(ends.where("coalesce(word, '') = ''"), allowMissingColumns=True).select("key", "source", (F.log("odds") + F.coalesce(F.log("word_odds"), F.lit(0.0)) + F.element_at(F.array(*map(F.lit, MARK_WEIGHTS)), F.col("mark") + 1)).alias("log_odds"))
+    judged = shelve(judged.join(at, "key", "left"), "judged")
     bins = judged.where("limit is null").groupBy("source", F.round("log_odds", 1).alias("log_odds")).agg(F.count("*").alias("n"))
     rates = bins.groupBy("source").applyInPandas(fit_rates, "source string, rate double")
     prior = F.coalesce(F.log("limit.limit_odds"), F.log(F.col("rate") / (1 - F.col("rate"))), F.lit(-20.0))

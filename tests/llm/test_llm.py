@@ -245,6 +245,12 @@ def test_cuts_are_found_and_whole_files_left(spark):
     assert find_truncated(df.where("false")).count() == 0
 
 
+def test_cuts_without_keys_and_with_long_words(spark):
+    rows = [(None, "x = 1\n", "js", "s"), (1, "a" * 300_000, None, "s"), (2, "b " * 100_000, "js", None), *[(3, "y = 2\n", "js", "s")] * 50]
+    got = find_truncated(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "3", "None"]
+
+
 def test_copies_of_a_file_are_no_limit(spark):
     texts = corpus(300, 8)
     rows = [(i, t, g, "s") for i, (t, g) in enumerate(texts)] + [(1000 + i, texts[0][0], "python", "s") for i in range(60)]
