@@ -280,14 +280,14 @@ def normal_duration(parts: dict[str, Column]) -> Column:
     sub = sum((parts[u] * float(UNIT_MS[u]) for u in UNITS[3:]), parts["weeks"] * float(UNIT_MS["weeks"]))
 
     def split(s: Column) -> Column:
-        cut = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+        cut = lambda x: x.cast("long").cast("double")
         years = cut(months / 12)
-        out, rest = [years.alias("years"), (months - years * 12).alias("months"), F.lit(0.0).alias("weeks")], s
-        for u in UNITS[3:-1]:
-            whole = cut(rest / float(UNIT_MS[u]))
-            out.append(whole.alias(u))
-            rest = rest - whole * float(UNIT_MS[u])
-        return F.struct(*out, rest.alias("milliseconds"))
+        out, above = [years.alias("years"), (months % 12).alias("months"), F.lit(0.0).alias("weeks")], None
+        for u in UNITS[3:]:
+            rest = s if above is None else s % float(UNIT_MS[above])
+            out.append((cut(rest / float(UNIT_MS[u])) if u != UNITS[-1] else rest).alias(u))
+            above = u
+        return F.struct(*out)
 
     return let(sub, split)
 
@@ -305,9 +305,9 @@ def date_difference(a: Column, b: Column) -> Column:
 
     def of(p: Column) -> Column:
         lo, hi, sign = p["lo"], p["hi"], p["sign"]
-        whole = F.floor(F.months_between(hi, lo, False)).cast("int")
         # months_between counts two month ends as whole months; step back where that goes too far
-        whole = F.when(lo + F.make_interval(F.lit(0), whole) > hi, whole - 1).when(lo + F.make_interval(F.lit(0), whole + 1) <= hi, whole + 1).otherwise(whole)
+        after = lambda n: lo + F.make_interval(F.lit(0), n)
+        whole = let(F.floor(F.months_between(hi, lo, False)).cast("int"), lambda n: F.when(after(n) > hi, n - 1).when(after(n + 1) <= hi, n + 1).otherwise(n))
 
         def rest(m: Column) -> Column:
             ms = (F.unix_micros(hi) - F.unix_micros(lo + F.make_interval(F.lit(0), m))).cast("double") / 1000
