@@ -22,7 +22,7 @@ def tag_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of tags on at least three pages, with counts, lift and surprise."""
-    return surprising_pairs(tag_baskets(spark, sf_dir), min_count=3, min_share=1 / 4000)
+    return surprising_pairs(tag_baskets(spark, sf_dir), min_count=3)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

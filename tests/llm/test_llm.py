@@ -89,6 +89,14 @@ def test_q_values(spark):
     assert np.allclose(got, want, rtol=1e-6)
 
 
+def test_p3_surprise_keeps_rare_pairs_of_many_pages(spark, tmp_path):
+    tags = F.when(F.col("id") < 3, F.array(F.lit("#Rare a"), F.lit("rare b"))).when(F.col("id") < 5, F.array(F.lit("twice a"), F.lit("twice b"))).otherwise(F.array(F.concat(F.lit("t"), F.col("id") % 50))).alias("tags")
+    pages = spark.range(16_000).select(F.concat(F.lit("p"), "id").alias("page_path"), tags, F.lit(1).cast("long").alias("revision"), F.lit("2024-01-01").cast("timestamp").alias("loaded_at"))
+    pages.write.parquet(f"{tmp_path}/vault_pages.parquet")
+    got = Q.p3_surprise(spark, str(tmp_path)).collect()
+    assert [(r["a"], r["b"], r["n"], r["n_a"], r["n_b"], r["baskets"]) for r in got] == [("rare a", "rare b", 3, 3, 3, 16_000)] and got[0]["q_value"] < 1e-3
+
+
 def test_p3_found(spark):
     pages = {}
     for r in spark.read.parquet(f"{SF}/vault_pages.parquet").collect():
