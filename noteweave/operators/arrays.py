@@ -6,13 +6,14 @@ that need positions count the rows ahead, or number rows range by range.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteweave.common import shelve
+from noteweave.common import shared_dir, shelve
 
 Row2Col = Callable[[Column], Column]
 
@@ -65,20 +66,33 @@ class DataArray:
         """The column's values without nulls, arrays as they are."""
         return self.where(F.col(column).isNotNull()).map(value=F.col(column))
 
-    def expand(self, children: DataFrame, *, key: str, child: str, max_depth: int = 64) -> DataArray:
+    def expand(self, children: DataFrame, *, key: str, child: str) -> DataArray:
         """These rows and everything below them. ``children``: (key, child) pairs of ``key`` values and the rows
         of their children, with this array's columns. Rows whose ``child`` column is null are dropped, but not
-        those of an empty list. A level is a join; each level is written, so that depth doesn't add up."""
-        level, out, depth = self.df.where(F.col(child).isNotNull()).withColumn("_depth", F.lit(0)), None, 0
-        while depth < max_depth:
-            level = shelve(level, "level")
-            out = level if out is None else out.unionByName(level)
-            depth += 1
-            below = level.select(F.explode(child).alias(f"_{key}")).join(children, F.col(f"_{key}") == F.col(key)).drop(f"_{key}")
-            level = below.where(F.col(child).isNotNull()).withColumn("_depth", F.lit(depth)).select(*out.columns)
-            if level.isEmpty():
+        those of an empty list. A level is a join; each level is written, so that depth doesn't add up.
+
+        There is no limit of depth; a row below itself raises a ValueError. To see it, rows hand down the key
+        that their ancestor at the last depth that is a power of two had: every cycle meets its own in time."""
+        spark, columns = self.df.sparkSession, self.df.columns
+        kinds = self.df.unionByName(children.select(*columns)).schema
+        path, depth = f"{shared_dir(spark)}/noteweave/levels-{uuid.uuid4().hex}", 0
+        id_type = children.schema[key].dataType
+        level = self.df.withColumns({"_mark": F.lit(None).cast(id_type), "_again": F.lit(None).cast(id_type)})
+        while True:
+            level = level.where(F.col(child).isNotNull()).select(*(F.col(f.name).cast(f.dataType) for f in kinds), F.lit(depth).alias("_depth"), "_mark", "_again")
+            level.write.parquet(f"{path}/{depth}")
+            level = spark.read.schema(level.schema).parquet(f"{path}/{depth}")
+            rows, again = level.agg(F.count("*"), F.max("_again")).first()
+            if again is not None:
+                raise ValueError(f"{again!r} is below itself")
+            if not rows:
                 break
-        return DataArray(out, (("_depth", True), *self.order))
+            depth += 1
+            below = level.select(F.explode(child).alias("_below"), F.col("_mark").alias("_above")).join(children, F.col("_below") == F.col(key))
+            mark = F.col(key) if depth & (depth - 1) == 0 else F.col("_above")
+            level = below.withColumns({"_mark": mark, "_again": F.when(F.col(key) == F.col("_above"), F.col(key))})
+        out = spark.read.schema(level.schema).option("recursiveFileLookup", True).parquet(path)
+        return DataArray(out.drop("_mark", "_again"), (("_depth", True), *self.order))
 
     # order and position
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from noteweave.operators.arrays import DataArray
 from noteweave.operators.instants import fit_notations, normalise_instants
 from noteweave.operators.references import canonical_path, orphan_references, orphan_report
 from noteweave.operators.shred import adjacency, entities, members, with_parents
@@ -181,3 +182,26 @@ def test_json_list(spark):
     texts = ['[{"$id": "a"}]', '{"0": {"$id": "a"}}', '{"$id": "a"}', json.dumps('[{"$id": "a"}]'), "[]", "{}", None, "nonsense"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(V.json_list(F.col("t"), "struct<`$id`:string>").alias("l"))
     assert [[x["$id"] for x in r["l"] or []] for r in df.collect()] == [["a"]] * 4 + [[]] * 4
+
+
+# ordered arrays
+
+NODE = "k string, v int, below array<string>"
+
+
+def test_expand_has_no_limit_of_depth(spark):
+    chain = spark.createDataFrame([(f"n{i}", i, [f"n{i + 1}"]) for i in range(70)] + [("n70", 70, [])], NODE)
+    got = DataArray.of(chain.where("v = 0"), "v").expand(chain, key="k", child="below")
+    assert [(r["_depth"], r["v"]) for r in got.array()] == [(i, i) for i in range(71)] and got.df.columns == ["k", "v", "below", "_depth"]
+
+
+def test_expand_of_trees_and_cycles(spark):
+    data = [("a", 0, ["b", "c"]), ("b", 1, ["d"]), ("c", 2, ["d", "e", "gone"]), ("d", 3, []), ("e", 4, None)]
+    tree = spark.createDataFrame(data, NODE)
+    got = DataArray.of(tree.where("k = 'a'"), "v").expand(tree, key="k", child="below")
+    assert [(r["_depth"], r["k"]) for r in got.array()] == [(0, "a"), (1, "b"), (1, "c"), (2, "d"), (2, "d")]
+    assert DataArray.of(tree.where("false"), "v").expand(tree, key="k", child="below").array() == []
+    for loop in ([("a", 0, ["a"])], [("r", 0, ["s"]), ("s", 1, ["x", "t"]), ("x", 2, []), ("t", 3, ["u"]), ("u", 4, ["v"]), ("v", 5, ["t"])]):
+        df = spark.createDataFrame(loop, NODE)
+        with pytest.raises(ValueError, match="below itself"):
+            DataArray.of(df.where("v = 0"), "v").expand(df, key="k", child="below")
