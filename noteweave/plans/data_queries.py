@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,12 +56,54 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(_nodes(V.canvas_adjacency(spark, sf_dir, ["$position.start"]), "canvas"))
 
 
+_LINES = {"line_from": ("$position.start", "bigint"), "line_to": ("$position.end", "bigint")}
+#: The columns of the entity tables: the scalars of each kind of node. A card's ``$id`` is its card_id.
+SCALARS: dict[str, dict[str, tuple[str, str]]] = {
+    "card": {
+        "type": ("$type", "string"), "file": ("$file", "string"), "x": ("$position.x", "double"), "y": ("$position.y", "double"), "width": ("$dimensions.width", "double"), "height": ("$dimensions.height", "double"),
+        "color": ("$color", "string"), "linked_file": ("$linkedFile", "string"), "url": ("$url", "string"),
+        "link_path": ("$link.path", "string"), "link_type": ("$link.type", "string"), "link_subpath": ("$link.subpath", "string"), "link_display": ("$link.display", "string"), "link_embed": ("$link.embed", "boolean"),
+    },
+    "section": {"number": ("$ordinal", "int"), "title": ("$title", "string"), "level": ("$level", "int"), **_LINES},
+    "block": {"number": ("$ordinal", "int"), "type": ("$type", "string"), "block_id": ("$blockId", "string"), "style": ("$style", "string"), "content_from": ("$contentPosition.start", "bigint"), "content_to": ("$contentPosition.end", "bigint"), **_LINES},
+    "item": {"type": ("$type", "string"), "status": ("$status", "string"), "symbol": ("$symbol", "string"), "text": ("$text", "string"), "block_id": ("$blockId", "string"), "parent_line": ("$parentLine", "bigint"), **_LINES},
+}
+
+
+def _entity_table(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The nodes of one kind of all pages and canvases: file_path, card_id, node, parent, parent_kind, ordinal and
+    their scalars. ``parent`` is the parent's ``node`` in the table of its kind, -1 for a page or canvas."""
+    at, columns = V.NODE_KINDS.index(kind), SCALARS[kind]
+
+    def nodes(read: Callable[..., DataFrame], top: str) -> DataFrame:
+        label = V.NODE_LABELS[at]
+        adj = read(spark, sf_dir, [path for path, _ in columns.values()], label)
+        flat = entities(adj.where((F.col("label") == label) | F.col("scalar").isNotNull()), labels=V.NODE_LABELS, columns=columns)
+        above = F.when(F.col("parent") < 0, F.lit(top)).otherwise(kind_name(F.col("above"), V.NODE_KINDS)).alias("parent_kind")
+        return flat.select(F.col("doc").alias("file_path"), F.col("root").alias("card_id"), "node", "parent", above, "ordinal", *columns)
+
+    canvases = nodes(V.canvas_adjacency, "canvas")
+    return canvases if kind == "card" else nodes(V.page_adjacency, "page").unionByName(canvases)
+
+
+def p4_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity table of the cards of canvases."""
+    return _entity_table(spark, sf_dir, "card")
+
+
 def p4_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entity table of the sections of pages."""
-    adj = V.page_adjacency(spark, sf_dir, ["$title", "$level", "$position.start", "$position.end"])
-    columns = {"title": ("$title", "string"), "level": ("$level", "int"), "line_from": ("$position.start", "bigint"), "line_to": ("$position.end", "bigint")}
-    flat = entities(adj, labels=V.NODE_LABELS, columns=columns).where("kind = 1")
-    return flat.select(F.col("doc").alias("file_path"), "node", "ordinal", *columns)
+    """The entity table of the sections of pages and cards."""
+    return _entity_table(spark, sf_dir, "section")
+
+
+def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity table of the blocks of all sections."""
+    return _entity_table(spark, sf_dir, "block")
+
+
+def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity table of the list items and tasks of all blocks, at any depth."""
+    return _entity_table(spark, sf_dir, "item")
 
 
 def p5_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +117,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_instants(spark, sf_dir).where("epoch_ms is not null").select("field_id", "epoch_ms").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_wide, p1_found, p2_found, p2_report, p4_found, p4_sections, p5_instants, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_wide, p1_found, p2_found, p2_report, p4_found, p4_cards, p4_sections, p4_blocks, p4_items, p5_instants, p5_found)}
 _ORPHANS = r"""WITH c0 AS (SELECT DISTINCT canvas_path, mtime, CASE WHEN json_valid(cards) THEN (CASE json_type(cards) WHEN 'VARCHAR' THEN cards::JSON->>'$' ELSE cards END) END AS cards
   FROM (SELECT * FROM canvases QUALIFY rank() OVER (PARTITION BY canvas_path ORDER BY revision DESC, loaded_at DESC) = 1)),
 c1 AS (SELECT canvas_path, mtime, unnest(CASE WHEN json_type(cards) = 'ARRAY' THEN json_extract(cards, '$[*]') ELSE json_extract(cards, '$.*') END) AS card FROM c0 WHERE cards IS NOT NULL),

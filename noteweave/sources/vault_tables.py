@@ -96,11 +96,11 @@ NODE_LABELS = ["$cards", "$sections", "$blocks", "$elements"]
 NODE_KINDS = ["card", "section", "block", "item"]
 
 
-def page_adjacency(spark: SparkSession, sf_dir: str, scalars: list[str]) -> DataFrame:
+def page_adjacency(spark: SparkSession, sf_dir: str, scalars: list[str], scalars_of: str | None = None) -> DataFrame:
     pages = latest_rows(table(spark, sf_dir, "vault_pages"), "page_path", ["sections"])
-    return adjacency(pages, key="page_path", text="sections", label="$sections", lists=["$blocks", "$elements"], scalars=scalars)
+    return adjacency(pages, key="page_path", text="sections", label="$sections", lists=["$blocks", "$elements"], scalars=scalars, scalars_of=scalars_of)
 
 
-def canvas_adjacency(spark: SparkSession, sf_dir: str, scalars: list[str]) -> DataFrame:
+def canvas_adjacency(spark: SparkSession, sf_dir: str, scalars: list[str], scalars_of: str | None = None) -> DataFrame:
     boards = latest_rows(table(spark, sf_dir, "canvases"), "canvas_path", ["cards"])
-    return adjacency(boards, key="canvas_path", text="cards", label="$cards", lists=["$sections", "$blocks", "$elements"], scalars=scalars, root_key="$id")
+    return adjacency(boards, key="canvas_path", text="cards", label="$cards", lists=["$sections", "$blocks", "$elements"], scalars=scalars, root_key="$id", scalars_of=scalars_of)

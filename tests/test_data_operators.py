@@ -49,6 +49,45 @@ def test_p4_found(spark):
     assert got == Counter(B.nodes(rows(spark, "vault_pages"), rows(spark, "canvases")))
 
 
+def scalar(x, path, kind):
+    """The scalar at ``path``; numbers may be stored as texts."""
+    for step in path.split("."):
+        x = x.get(step) if isinstance(x, dict) else None
+    return None if x is None or isinstance(x, (dict, list)) else {"int": int, "bigint": int, "double": float}.get(kind, lambda v: v)(x)
+
+
+def entity_rows(spark):
+    """By kind, each node's file, card, scalars, and its parent's kind and first line (None outside)."""
+    out = {k: Counter() for k in V.NODE_KINDS}
+
+    def walk(f, card, v, kind, up, at):
+        for x in B.elements(v):
+            inside = x.get("$id") if kind == "card" else card
+            line = scalar(x, "$position.start", "bigint") if kind != "card" else None
+            out[kind][(f, inside, *(scalar(x, *c) for c in Q.SCALARS[kind].values()), up, at)] += 1
+            for label, below in zip(V.NODE_LABELS, V.NODE_KINDS):
+                walk(f, inside, x.get(label), below, kind, line)
+
+    for p in B.newest(rows(spark, "vault_pages"), "page_path").values():
+        walk(p["page_path"], "", p["sections"], "section", "page", None)
+    for c in B.newest(rows(spark, "canvases"), "canvas_path").values():
+        walk(c["canvas_path"], None, c["cards"], "card", "canvas", None)
+    return out
+
+
+def test_p4_entity_tables(spark):
+    """Parents are looked up by their node in the other tables."""
+    tables = {k: [r.asDict() for r in Q.QUERIES[f"p4_{k}s"](spark, SF).collect()] for k in V.NODE_KINDS}
+    line = {(k, r["file_path"], r["card_id"], r["node"]): r.get("line_from") for k, t in tables.items() for r in t}
+    for kind, want in entity_rows(spark).items():
+        got = Counter()
+        for r in tables[kind]:
+            at = None if r["parent"] < 0 else line[r["parent_kind"], r["file_path"], r["card_id"], r["parent"]]
+            got[(r["file_path"], r["card_id"], *(r[c] for c in Q.SCALARS[kind]), r["parent_kind"], at)] += 1
+        assert got == want and want
+    assert any(r["card_id"] for r in tables["section"]) and any(r["parent_kind"] == "item" for r in tables["item"])
+
+
 def test_p5_found(spark, types, zones):
     want = {(r["field_id"], t) for r in rows(spark, "page_fields") if types.get((r["entry_key"] or "").strip().lower()) == "date" and (t := B.instant(r["entry_raw"], zones.get(r["vault"]))) is not None}
     assert {tuple(r) for r in Q.p5_found(spark, SF).collect()} == want
