@@ -64,6 +64,8 @@ _query("q_functions", '@part and contains(lower(p_name), "blue") and length(p_na
 _NATION = "SELECT n_nationkey FROM nation WHERE n_regionkey = 2"
 _query("q_childof", 'childof(id("region/2"))', f"SELECT {{nation}} AS id FROM nation WHERE n_regionkey = 2 UNION ALL SELECT {{customer}} FROM customer WHERE c_nationkey IN ({_NATION}) UNION ALL SELECT {{supplier}} FROM supplier WHERE s_nationkey IN ({_NATION}) UNION ALL SELECT {{orders}} FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN ({_NATION}) UNION ALL SELECT {{lineitem}} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN ({_NATION})")
 _query("q_subtree", 'subtree(@customer and c_custkey < 20) and !@lineitem', "SELECT {customer} AS id FROM customer WHERE c_custkey < 20 UNION ALL SELECT {orders} FROM orders WHERE o_custkey < 20 AND o_custkey IN (SELECT c_custkey FROM customer)")
+_NEGATIVE = "SELECT c_custkey FROM customer WHERE c_acctbal < 0"
+_query("q_subtree_all", "subtree(@customer and c_acctbal < 0)", f"SELECT {{customer}} AS id FROM customer WHERE c_acctbal < 0 UNION ALL SELECT {{orders}} FROM orders WHERE o_custkey IN ({_NEGATIVE}) UNION ALL SELECT {{lineitem}} FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN ({_NEGATIVE})")
 _query("q_parentof", "parentof(@orders and o_totalprice > 480000)", "WITH o AS (SELECT DISTINCT c_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 480000) SELECT DISTINCT concat('customer/', c_custkey) AS id FROM o UNION SELECT concat('nation/', c_nationkey) FROM o UNION SELECT concat('region/', n_regionkey) FROM o JOIN nation ON c_nationkey = n_nationkey")
 _query("q_supertree", "supertree(@supplier and s_acctbal > 9500)", "WITH s AS (SELECT * FROM supplier WHERE s_acctbal > 9500) SELECT {supplier} AS id FROM s UNION SELECT concat('nation/', s_nationkey) FROM s UNION SELECT concat('region/', n_regionkey) FROM s JOIN nation ON s_nationkey = n_nationkey")
 _query("q_childof_nested", "@orders and childof(@nation and n_regionkey = 0) and !childof(@customer and c_acctbal < 0)", "SELECT {orders} AS id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 AND NOT c_acctbal < 0")
@@ -197,6 +199,16 @@ def _(spark, d):
     return _orders(spark, d).sort(F.col("o_orderpriority"), "desc").slice(50, 150).df.select("o_orderkey")
 
 
+@_array("da_sort_asc_all", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS index FROM orders")
+def _(spark, d):
+    return _orders(spark, d).sort(F.col("o_totalprice")).indexed().select("o_orderkey", "index")
+
+
+@_array("da_sort_desc_all", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey) - 1 AS index FROM orders")
+def _(spark, d):
+    return _orders(spark, d).sort(F.col("o_orderpriority"), "desc").indexed().select("o_orderkey", "index")
+
+
 @_array("da_limit_negative", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT (SELECT count(*) - 5 FROM nation)")
 def _(spark, d):
     return DataArray.of(table(spark, d, "nation"), "n_nationkey").limit(-5).df.select("n_nationkey")

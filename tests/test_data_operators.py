@@ -14,6 +14,7 @@ from noteweave.operators.references import canonical_path, orphan_references, or
 from noteweave.operators.shred import adjacency, entities, members, with_parents
 from noteweave.operators.wide import wide_table
 from noteweave.plans import data_queries as Q
+from noteweave.plans import object_queries as O
 from noteweave.sources import vault_tables as V
 from tests import brute_vault as B
 
@@ -244,3 +245,20 @@ def test_expand_of_trees_and_cycles(spark):
         df = spark.createDataFrame(loop, NODE)
         with pytest.raises(ValueError, match="below itself"):
             DataArray.of(df.where("v = 0"), "v").expand(df, key="k", child="below")
+
+
+def test_sorts_give_all_orders_with_their_position(spark):
+    orders = sorted(rows(spark, "orders"), key=lambda r: r["o_orderkey"])
+    for name, column, down in (("da_sort_asc_all", "o_totalprice", False), ("da_sort_desc_all", "o_orderpriority", True)):
+        want = [r["o_orderkey"] for r in sorted(orders, key=lambda r: r[column], reverse=down)]
+        got = {r["index"]: r["o_orderkey"] for r in O.QUERIES[name](spark, SF).collect()}
+        assert [got[i] for i in range(len(got))] == want and len(want) > 100
+
+
+def test_subtree_down_to_the_line_items(spark):
+    customers = {r["c_custkey"] for r in rows(spark, "customer") if r["c_acctbal"] < 0}
+    orders = {r["o_orderkey"] for r in rows(spark, "orders") if r["o_custkey"] in customers}
+    items = [r for r in rows(spark, "lineitem") if r["l_orderkey"] in orders]
+    got = [r["id"] for r in O.QUERIES["q_subtree_all"](spark, SF).collect()]
+    assert Counter(x.split("/")[0] for x in got) == {"customer": len(customers), "orders": len(orders), "lineitem": len(items)}
+    assert {x for x in got if x.startswith("orders/")} == {f"orders/{k}" for k in orders} and {x.split("/")[1] for x in got if x.startswith("lineitem/")} == {str(r["l_orderkey"]) for r in items}
