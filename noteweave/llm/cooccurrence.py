@@ -21,7 +21,8 @@ from noteweave.common import shelve
 from noteweave.llm.discovery import with_q_values
 
 #: Distinct basket sizes and item frequencies are merged into so many classes at most (by near equal
-#: size); it bounds the driver's part of the fit and changes no count.
+#: size); it bounds the driver's part of the fit and changes no count. Above it y is approximate, while x
+#: is solved for each distinct frequency, so that every item's expected frequency is the observed one.
 CLASSES = 512
 
 
@@ -49,6 +50,26 @@ def fit_null(item_freq: np.ndarray, item_n: np.ndarray, basket_size: np.ndarray,
     return x, y
 
 
+def solve_fitness(freq: np.ndarray, y: np.ndarray, basket_n: np.ndarray, start: np.ndarray, *, rounds: int = 100) -> np.ndarray:
+    """x of each frequency, given y: where the expected frequency is the observed one. Newton's steps in log x,
+    kept within brackets; a frequency of all baskets has no finite x and keeps its start."""
+    x, able = start.astype(float).copy(), freq < basket_n.sum() * (1 - 1e-9)
+    for block in np.array_split(np.flatnonzero(able), able.sum() // 1000 + 1):
+        want, t = freq[block].astype(float), np.log(x[block])
+        low, high = np.full(len(block), -700.0), np.full(len(block), 300.0)
+        for _ in range(rounds):
+            p = np.exp(t)[:, None] * y
+            p = p / (1 + p)
+            miss = p @ basket_n - want
+            low, high = np.where(miss < 0, t, low), np.where(miss > 0, t, high)
+            if np.abs(miss / want).max(initial=0) < 1e-10:
+                break
+            t = t - miss / ((p * (1 - p)) @ basket_n).clip(1e-300)
+            t = np.where((t > low) & (t < high), t, (low + high) / 2)
+        x[block] = np.exp(t)
+    return x
+
+
 def log_upper_tail(n: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     """log10 P(K >= n) for K a sum of ``m[s]`` Bernoulli trials of probability ``q[:, s]`` each.
 
@@ -149,7 +170,10 @@ def surprising_pairs(baskets: DataFrame, *, min_count: int = 3, min_share: float
     i_freq, i_n, i_class = _classes(freq_rows["freq"].to_numpy(), freq_rows["n"].to_numpy(), classes) if total else (np.ones(1), np.ones(1), np.zeros(0, int))
     g_size, g_n, _ = _classes(size_rows["size"].to_numpy(), size_rows["n"].to_numpy(), classes) if total else (np.ones(1), np.ones(1), np.zeros(0, int))
     x, y = fit_null(i_freq, i_n, g_size, g_n)
-    fitness = pd.Series(x[i_class], index=freq_rows["freq"].to_numpy()) if total else pd.Series(dtype=float)
+    own = x[i_class]
+    if len(i_freq) < len(freq_rows):
+        own = solve_fitness(freq_rows["freq"].to_numpy(), y, g_n, own)
+    fitness = pd.Series(own, index=freq_rows["freq"].to_numpy()) if total else pd.Series(dtype=float)
 
     def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:

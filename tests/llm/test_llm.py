@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noteweave.llm import queries as Q
-from noteweave.llm.cooccurrence import fit_null, log_upper_tail, surprising_pairs
+from noteweave.llm.cooccurrence import CLASSES, _classes, fit_null, log_upper_tail, solve_fitness, surprising_pairs
 from noteweave.llm.discovery import with_q_values
 from noteweave.llm.encoding import TOKENIZERS, TreeCodec, decode_corpus, encode_corpus
 from noteweave.llm.leakage import SEEDS, blocks, find_leaks, make_block, words
@@ -66,6 +66,21 @@ def test_null_keeps_frequencies_and_sizes():
     assert np.allclose(p @ n_baskets, freq, rtol=1e-4) and np.allclose(n_items @ p, size, rtol=1e-4)
 
 
+def test_null_above_the_bound_of_classes():
+    freq, n_items, size, n_baskets = np.arange(1, 1201), np.ones(1200), np.array([10.0, 40, 100]), np.array([5000.0, 10_000, 2706])
+    f, n, group = _classes(freq, n_items, CLASSES)
+    x, y = fit_null(f, n, size, n_baskets)
+    shared, own = x[group], solve_fitness(freq, y, n_baskets, x[group])
+    gap = lambda v: np.abs((np.outer(v, y) / (1 + np.outer(v, y))) @ n_baskets / freq - 1).max()
+    assert len(f) < 1200 and gap(own) < 1e-6 and gap(shared) > 1e-3
+
+
+def test_pairs_are_tested_alike_when_frequencies_share_classes(spark):
+    data = [[f"t{j}" for j in range(40) if (i * (2 * j + 3)) % 83 < 2 * j + 1][:30] for i in range(300)]
+    whole, merged = ({(r["a"], r["b"]): r["expected"] for r in surprising_pairs(baskets(spark, data), **more).collect()} for more in ({}, {"classes": 8}))
+    assert whole.keys() == merged.keys() and max(abs(merged[k] / whole[k] - 1) for k in whole) < 0.05
+
+
 def test_tails_against_convolution():
     rng = np.random.default_rng(1)
     q, m = np.minimum(rng.gamma(0.5, 0.05, (150, 6)) * rng.uniform(0, 6, (150, 1)), 0.95), np.array([400, 200, 60, 20, 3, 1])
