@@ -65,20 +65,23 @@ def declared_types(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     return {k: t for k, t in sorted(rows)}
 
 
-def zoned_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_fields with the declared ``field_key`` and ``field_type`` and the home ``zone`` of the vault."""
+def zoned_fields(spark: SparkSession, sf_dir: str, *, undeclared: bool = False) -> DataFrame:
+    """page_fields with the declared ``field_key`` and ``field_type`` and the home ``zone`` of the vault; fields
+    of ``undeclared`` keys have no type."""
     types = table(spark, sf_dir, "field_types").select(field_key(F.col("field_key")).alias("field_key"), "field_type")
     zones = table(spark, sf_dir, "vaults").select("vault", F.col("zone_name").alias("zone"))
     rows = table(spark, sf_dir, "page_fields").withColumn("field_key", field_key(F.col("entry_key")))
-    return rows.join(types, "field_key").join(zones, "vault", "left")
+    return rows.join(types, "field_key", "left" if undeclared else "inner").join(zones, "vault", "left")
 
 
 def field_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_path, attribute, value, zone: the row that wins each cell of the wide table.
 
     The highest revision wins, then frontmatter, then the smallest line, then the smallest field_id.
+    All fields of undeclared keys of a page are one cell without attribute and value, which keeps the page.
     """
-    rows = zoned_fields(spark, sf_dir).withColumnRenamed("field_key", "attribute")
+    declared = F.col("field_type").isNotNull()
+    rows = zoned_fields(spark, sf_dir, undeclared=True).withColumns({"attribute": F.when(declared, F.col("field_key")), "entry_value": F.when(declared, F.col("entry_value"))})
     order = [-F.coalesce("revision", F.lit(-(2**62))), F.when(F.col("origin") == "frontmatter", 0).otherwise(1), F.coalesce("line_no", F.lit(2**31 - 1)), F.col("field_id")]
     return winners(rows, entity="page_path", attribute="attribute", order=order, value=F.col("entry_value"), carry=["zone"])
 

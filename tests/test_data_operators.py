@@ -40,6 +40,18 @@ def test_p1_found(spark, types, zones):
     assert {tuple(r) for r in got} == B.misfits(rows(spark, "page_fields"), types, zones) and len(got) == len(set(got)) > 0
 
 
+def test_p1_wide_has_pages_without_declared_keys(spark, tmp_path):
+    for name in ("field_types", "vaults"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    fields = spark.read.parquet(f"{SF}/page_fields.parquet").limit(50)
+    other = fields.limit(3).withColumns({"page_path": F.lit("only/undeclared.md"), "entry_key": F.when(F.col("field_id") % 2 == 0, F.lit("no such key"))})
+    fields.unionByName(other).write.parquet(f"{tmp_path}/page_fields.parquet")
+    got = [r.asDict() for r in Q.p1_wide(spark, str(tmp_path)).collect()]
+    alone = [r for r in got if r["page_path"] == "only/undeclared.md"]
+    assert len(alone) == 1 and alone[0].pop("misfits") == [] and set(alone[0].values()) == {"only/undeclared.md", None}
+    assert {r["page_path"] for r in got} == {r["page_path"] for r in fields.collect() if r["page_path"] is not None} | {"only/undeclared.md"}
+
+
 def test_p2_found(spark):
     got = Q.p2_found(spark, SF).collect()
     assert {tuple(r) for r in got} == B.orphans(rows(spark, "page_links"), rows(spark, "canvases"), rows(spark, "vault_files")) and len(got) == len(set(got)) > 0
