@@ -10,6 +10,7 @@ of texts at no special length, gives the prior odds.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from noteweave.common import let, shelve, strip
 from noteweave.llm.discovery import with_q_values
 
-# Marks that a cut leaves at the very end, and block sizes of storage and transfer.
-MARKS = ["…", "[cut]", "[truncated]", "[...]", "<truncated>", "�"]
+# Marks that a cut may leave at the very end, and block sizes of storage and transfer.
+MARKS = ["…", "[cut]", "[truncated]", "[...]", "<truncated>", "�", "..."]
 BLOCKS = [512, 1000, 1024, 4096]
-_MARK_END = r"(?: ?(?:\.\.\.|" + "|".join(re.escape(m) for m in MARKS) + "))+$"
+_MARK_END = r"(?: ?(?:" + "|".join(re.escape(m) for m in MARKS) + "))++$"
 
 #: Lengths at most so far away are neighbours.
 REACH = 64
@@ -35,41 +36,52 @@ FALSE_DISCOVERIES = 0.01
 TRIAL_CUTS = 4
 #: First guesses of the share of cut texts, and of whole texts that lack their last line end.
 FIRST_RATE, LACKING = 0.02, 0.15
-#: Log odds that no mark, three dots and any other mark at the very end add.
-MARK_WEIGHTS = [0.0, 3.0, 7.0]
 #: Share of the weight of shapes seen once that any one new shape has.
 NEW = 0.01
-#: Characters of the ending that its shape is taken from.
-_TAIL = 400
+#: Symbols at the start and at the end of a line's shape that are told apart.
+SHAPE = (3, 6)
+#: Lengths are put into ranges of so many, each with its neighbours, so that a task sees one range only.
+SPAN = 4096
+#: Prefixes of longer words are found by sorting instead of listing them.
+LONG_WORD = 64
 
 
-def _ending(tail: Column) -> Column:
-    """struct<nl,shape,word> of the last characters of a text."""
+def _ending(text: Column) -> Column:
+    """struct<nl,shape,word> of the end of a text: whether it ends a line, the shape of all of its last line (without
+    up to two line ends), and the word it stops in."""
 
     def of(core: Column) -> Column:
         line = F.substring_index(core, "\n", -1)
         shape = F.regexp_replace(line, r"^[ \t]+", ">")
-        for pattern, symbol in ((r"\s+$", "_"), (r"[\p{L}_][\p{L}\p{N}_]*", "w"), (r"\p{N}[\p{L}\p{N}_.]*", "9"), (r"w(?:,? w)+", "W"), (r"\s+", " ")):
+        for pattern, symbol in ((r"(?<!\s)\s++$", "_"), (r"[\p{L}_][\p{L}\p{N}_]*", "w"), (r"\p{N}[\p{L}\p{N}_.]*", "9"), (r"w(?:,? w)++", "W"), (r"\s+", " ")):
             shape = F.regexp_replace(shape, pattern, symbol)
-        return F.struct(F.concat(F.left(shape, F.lit(3)), F.lit("~"), F.right(shape, F.lit(6))).alias("shape"), F.lower(F.regexp_extract(line, r"(\p{L}+)$", 1)).alias("word"))
+        return F.struct(F.concat(F.left(shape, F.lit(SHAPE[0])), F.lit("~"), F.right(shape, F.lit(SHAPE[1]))).alias("shape"), F.lower(F.regexp_extract(line, r"(?<!\p{L})(\p{L}++)$", 1)).alias("word"))
 
-    nl = tail.rlike(r"\n$")
-    return let(F.regexp_replace(tail, r"\r?\n$", ""), lambda core: let(of(core), lambda e: F.struct(nl.alias("nl"), e["shape"].alias("shape"), F.when(~nl, e["word"]).alias("word"))))
+    def tail(last: Column) -> Column:
+        nl = last.endswith("\n")
+        return let(of(F.regexp_replace(last, r"\r?\n$", "")), lambda e: F.struct(nl.alias("nl"), e["shape"].alias("shape"), F.when(~nl, e["word"]).alias("word")))
+
+    return let(F.substring_index(text, "\n", -3), tail)  # the last line and two line ends after it
+
+
+def _line_ends(text: Column, mark: str) -> Column:
+    """How many lines of a text but the last end with ``mark``."""
+    line = mark + "\n"
+    return F.when(text.contains(line), F.size(F.split(text, re.escape(line))) - 1).otherwise(0)
 
 
 def _features(docs: DataFrame, key: str, text: str, source: str, lang: str) -> DataFrame:
-    """A row per text that isn't blank: its lengths, its ending, and how it ends where it is cut on trial."""
+    """A row per text that isn't blank: its lengths, its ending, how it ends where it is cut on trial, and its lines
+    with how many of them end with each mark. ``mark`` is the place of the mark at its very end, -1 for none."""
     body = docs.where(strip(F.col(text)) != "").select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("t"))
     chars = F.length("t")
-    sure = reduce(lambda a, m: a | F.col("t").endswith(m), MARKS[1:], F.col("t").endswith(MARKS[0]))
-    mark = F.when(sure, 2).when(F.col("t").rlike(r"[^\s.]\.\.\.$"), 1).otherwise(0)
-    tail = F.right("t", F.lit(_TAIL))
-    tail = F.when(mark > 0, F.regexp_replace(tail, _MARK_END, "")).otherwise(tail)
+    mark = reduce(lambda c, i: c.when(F.col("t").endswith(MARKS[i]), i), range(1, len(MARKS)), F.when(F.col("t").endswith(MARKS[0]), 0)).otherwise(-1)
+    end = F.when(mark >= 0, F.regexp_replace(F.substring_index("t", "\n", -1), _MARK_END, "")).otherwise(F.substring_index("t", "\n", -3))
     places = F.array(*(1 + F.pmod(F.xxhash64("t", F.lit(i)), F.greatest(chars - 1, F.lit(1))) for i in range(TRIAL_CUTS)))
-    cuts = F.transform(places, lambda p: _ending(F.substring(F.col("t"), F.greatest(p - _TAIL + 1, F.lit(1)).cast("int"), F.least(p, F.lit(_TAIL)).cast("int"))))
+    cuts = F.transform(places, lambda p: _ending(F.substring(F.col("t"), F.lit(1), p.cast("int"))))
     return body.select(
         "key", "source", "lang", chars.cast("long").alias("chars"), F.octet_length("t").cast("long").alias("bytes"), F.xxhash64("t").alias("content"), mark.alias("mark"),
-        _ending(tail).alias("end"), cuts.alias("cuts"),
+        _ending(end).alias("end"), cuts.alias("cuts"), (chars - F.length(F.replace(F.col("t"), F.lit("\n"), F.lit("")))).cast("long").alias("lines"), F.array(*(_line_ends(F.col("t"), m) for m in MARKS)).alias("marked_lines"),
     )
 
 
@@ -83,20 +95,39 @@ def length_hazards(features: DataFrame, *, reach: int = REACH) -> DataFrame:
     """source, unit, length, n, at_risk, hazard, expected, log10_p, q_value: a row per length that occurs.
 
     ``n`` counts different texts that end at ``length``, so copies of a file don't count as a habit of the
-    source; ``at_risk`` those of at least that length. ``expected`` is what the hazards of the other
-    lengths within ``reach`` give. Blocks wrap around.
+    source; ``at_risk`` those of at least that length, in blocks all; ``hazard`` is their ratio. The hazard of
+    the lengths within ``reach``, those at which no text ends included, is their ends over their risks, pooled;
+    ``expected`` is that hazard times ``at_risk``. Blocks wrap around.
+
+    Lengths are counted before they are measured in other units, and windows see ``SPAN`` lengths and their
+    neighbours only, so that no task holds all lengths of a source.
     """
-    texts = features.select("source", "content", F.explode(_units(features)).alias("u")).select("source", "u.*", "content")
-    counts = texts.groupBy("source", "unit", "wrap", "length").agg(F.count_distinct("content").alias("n"))
-    by = Window.partitionBy("source", "unit")
-    rows = counts.withColumn("at_risk", F.when(F.col("wrap") > 0, F.sum("n").over(by)).otherwise(F.sum("n").over(by.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    # a block's first and last residues are neighbours too: they are repeated beyond its other end
-    turns = F.when(F.col("wrap") > 0, F.array(F.lit(0), F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))
-    ring = rows.withColumn("turn", F.explode(turns)).withColumn("at", F.col("length") + F.col("turn") * F.col("wrap")).where((F.col("turn") == 0) | F.col("at").between(-reach, F.col("wrap") + reach))
-    near = by.orderBy("at").rangeBetween(-reach, reach)
-    seen = ring.withColumn("others", F.sum("n").over(near) - F.col("n")).where("turn = 0").withColumn("hazard", F.col("n") / F.col("at_risk"))
-    width = F.when(F.col("wrap") > 0, 2 * reach).otherwise(F.least(F.lit(2 * reach), F.col("length") + reach))
-    seen = seen.withColumn("expected", (F.col("others") + 0.5) / width)
+    texts = features.groupBy("source", "content", "chars", "bytes").agg(F.lit(1)).groupBy("source", "chars", "bytes").agg(F.count("*").alias("n"))
+    counts = texts.select("source", "n", F.explode(_units(texts)).alias("u")).groupBy("source", "u.unit", "u.wrap", "u.length").agg(F.sum("n").alias("n")).withColumn("span", F.floor(F.col("length") / SPAN))
+    counts = shelve(counts, "lengths")
+    spans = counts.groupBy("source", "unit", "wrap", "span").agg(F.sum("n").alias("k"))
+    above = F.sum("k").over(Window.partitionBy("source", "unit").orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select("source", "unit", "span", F.coalesce(above, F.lit(0)).alias("beyond"))
+    # a length is also a neighbour in the ranges beside its own; a block's first and last ones are beyond its other end too
+    length, span, wrap = F.col("length"), F.col("span"), F.col("wrap")
+    seat = lambda at, span, own: F.struct(at.alias("at"), span.cast("long").alias("span"), F.lit(own).alias("own"))
+    beside = F.array_compact(F.array(F.when(length - span * SPAN < reach, seat(length, span - 1, False)), F.when((span + 1) * SPAN - length <= reach, seat(length, span + 1, False))))
+    around = F.array_compact(F.array(F.when(length < reach, seat(length + wrap, span, False)), F.when(wrap - length <= reach, seat(length - wrap, span, False))))
+    seats = counts.select("source", "unit", "wrap", "length", "n", F.explode(F.concat(F.array(seat(length, span, True)), F.when(wrap > 0, around).otherwise(beside))).alias("s")).select("source", "unit", "wrap", "length", "n", "s.*")
+    seats = seats.join(spans, ["source", "unit", "span"])  # a range without lengths of its own asks for no neighbours
+    by = Window.partitionBy("source", "unit", "span")
+    near, at = by.orderBy("at").rangeBetween(-reach, reach), F.col("at")
+    first = F.greatest(F.lit(1), at - reach)
+    own_n = F.when(F.col("own"), F.col("n")).otherwise(0)
+    seen = seats.withColumns({
+        "at_risk": F.when(wrap > 0, F.sum(own_n).over(by)).otherwise(F.col("beyond") + F.sum(own_n).over(by.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow))),
+        "ends": F.sum("n").over(near), "up": F.sum("n").over(by.orderBy("at").rangeBetween(Window.currentRow, reach)), "places": F.sum(F.col("n") * at).over(near),
+    }).where("own")
+    # a text that ends at k within reach is at risk up to k there; one that ends beyond is at risk at all places
+    risks = (F.col("at_risk") - F.col("up")) * (at + reach - first + 1) + F.col("places") - F.col("ends") * (first - 1)
+    others = F.when(wrap > 0, F.col("at_risk") * 2 * reach).otherwise(risks - F.col("at_risk"))
+    pooled = (F.col("ends") - F.col("n") + 0.5) / F.greatest(others, F.lit(1))
+    seen = seen.withColumns({"hazard": F.col("n") / F.col("at_risk"), "expected": F.col("at_risk") * pooled})
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
@@ -123,9 +154,7 @@ def poisson_tail(n: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 
 def _log_factorial(x: float) -> float:
-    from math import lgamma
-
-    return lgamma(x + 1)
+    return math.lgamma(x + 1)
 
 
 def _ending_odds(features: DataFrame) -> DataFrame:
@@ -135,48 +164,81 @@ def _ending_odds(features: DataFrame) -> DataFrame:
     texts without a last line end have endings of their own (minified code never has one): so texts without
     it also teach, with the weight of being whole that a first round gives their ending, but none about itself.
     """
-    ended = features.where("mark = 0").groupBy("lang", F.col("end.shape").alias("shape")).agg(F.count_if("end.nl").alias("closed"), F.count_if(~F.col("end.nl")).alias("open"))
+    ended = features.where("mark < 0").groupBy("lang", F.col("end.shape").alias("shape")).agg(F.count_if("end.nl").alias("closed"), F.count_if(~F.col("end.nl")).alias("open"))
     trial = features.select("lang", F.explode("cuts").alias("c"))
     cut = trial.groupBy("lang", F.col("c.shape").alias("shape")).agg(F.count_if(F.col("c.nl")).alias("cut_closed"), F.count_if(~F.col("c.nl")).alias("cut_open"))
     table = ended.join(cut, ["lang", "shape"], "full").na.fill(0)
     table = shelve(table.withColumns({"cut_all": F.col("cut_open") + F.col("cut_closed")}), "shapes")
     shape, lang = Window.partitionBy("shape"), Window.partitionBy("lang")
 
-    def shares(t: DataFrame, *names: str, out_of: dict[str, str] | None = None) -> DataFrame:
+    def shares(t: DataFrame, *names: str, out_of: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, float]]:
         """``p_<name>``: the share of a shape within its language, drawn towards its share in all, and for shapes
-        never seen by how often shapes are new: the number of those seen once."""
+        never seen by how often shapes are new: the number of those seen once. Also that share of a new shape alone."""
         out_of = {n: (out_of or {}).get(n, n) for n in names}
         by_shape = t.groupBy("shape").agg(*(F.sum(c).alias(c) for c in {*out_of, *out_of.values()}))
         once = [F.count_if((F.col(n) > 0) & (F.col(n) <= 1)).alias(f"s_{n}") for n in out_of]
         total = by_shape.agg(*(F.sum(c).alias(f"t_{c}") for c in set(out_of.values())), *once).collect()[0]  # one row
         t_of = {n: max(float(total[f"t_{of}"] or 0), 1.0) for n, of in out_of.items()}
-        return t.select("*", *(
-            (0.9 * F.col(n) / F.greatest(F.sum(of).over(lang), F.lit(1)) + 0.1 * F.sum(n).over(shape) / t_of[n] + NEW * (total[f"s_{n}"] + 1) / t_of[n]).alias(f"p_{n}") for n, of in out_of.items()
-        ))
+        new = {n: NEW * (total[f"s_{n}"] + 1) / t_of[n] for n in out_of}
+        return t.select("*", *((0.9 * F.col(n) / F.greatest(F.sum(of).over(lang), F.lit(1)) + 0.1 * F.sum(n).over(shape) / t_of[n] + new[n]).alias(f"p_{n}") for n, of in out_of.items())), new
 
-    first = shares(table, "closed", "cut_open", "cut_closed", out_of={"cut_open": "cut_all", "cut_closed": "cut_all"})
+    first, new = shares(table, "closed", "cut_open", "cut_closed", out_of={"cut_open": "cut_all", "cut_closed": "cut_all"})
     first = first.withColumn("open_whole", F.greatest(F.col("open") - 1, F.lit(0)) / (1 + FIRST_RATE * F.col("p_cut_open") / (LACKING * F.col("p_closed"))))
     first = shelve(first.withColumn("lacking", F.col("open_whole") + LACKING * F.col("closed")), "lacking")
     held = first.agg(F.sum("open_whole").alias("open"), F.sum("closed").alias("closed")).collect()[0]  # one row
     lack = min(max((held["open"] or 0) / max((held["open"] or 0) + (held["closed"] or 0), 1), 0.02), 0.98)
-    model = shares(first, "lacking").select(
-        "lang", "shape", (F.col("p_cut_open") / (F.col("p_lacking") * lack)).alias("open_odds"), (F.col("p_cut_closed") / (F.col("p_closed") * (1 - lack))).alias("closed_odds")
-    )
+    model, new_lacking = shares(first, "lacking")
+    new |= new_lacking
+    model = model.select("lang", "shape", (F.col("p_cut_open") / (F.col("p_lacking") * lack)).alias("open_odds"), (F.col("p_cut_closed") / (F.col("p_closed") * (1 - lack))).alias("closed_odds"))
     ends = features.select("key", "source", "lang", "mark", "end.nl", "end.shape", "end.word")
-    odds = F.when(F.col("nl"), F.coalesce("closed_odds", F.lit(0.1))).otherwise(F.coalesce("open_odds", F.lit(20.0)))
+    # only endings before a mark can be new here
+    odds = F.when(F.col("nl"), F.coalesce("closed_odds", F.lit(new["cut_closed"] / (new["closed"] * (1 - lack))))).otherwise(F.coalesce("open_odds", F.lit(new["cut_open"] / (new["lacking"] * lack))))
     return ends.join(model, ["lang", "shape"], "left").select("key", "source", "mark", "word", odds.alias("odds"))
 
 
+def _mark_odds(features: DataFrame) -> list[float]:
+    """How much likelier each mark of ``MARKS``, and then none, is at the end of a cut text than of a whole one.
+
+    Whole texts end with a mark as often as lines do, half a line more; the other texts that end with it were cut,
+    at the first guess of the rate of cuts at least."""
+    ends = [F.count_if(F.col("mark") == i).alias(f"e{i}") for i in range(len(MARKS))]
+    lines = [F.sum(F.get("marked_lines", F.lit(i))).alias(f"l{i}") for i in range(len(MARKS))]
+    held = features.agg(F.count("*").alias("texts"), F.sum("lines").alias("lines"), *ends, *lines).collect()[0]  # one row
+    texts, all_lines = max(held["texts"], 1), max(held["lines"] or 0, 1)
+    whole = [((held[f"l{i}"] or 0) + 0.5) / (all_lines + 1) for i in range(len(MARKS))]
+    extra = [max(held[f"e{i}"] / texts - w, 0.0) for i, w in enumerate(whole)]
+    rate = max(FIRST_RATE, sum(extra))
+    cut = [x / rate + w for x, w in zip(extra, whole)]
+    none = max(1 - sum(cut), 0.5) / max(1 - sum(whole), 0.5)
+    return [c / w for c, w in zip(cut, whole)] + [none]
+
+
 def _word_odds(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
     """word, word_odds: how much likelier it is to stop in or after ``word`` by a cut than at its end by intent."""
     tokens = docs.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
     tokens = shelve(tokens, "tokens")
-    parts = tokens.select("n", F.col("token"), F.explode(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(_TAIL)))).alias("i")).select("n", F.left("token", F.col("i")).alias("word"), (F.col("i") == F.length("token")).alias("full"))
     mean = tokens.agg(F.sum(F.length("token") * F.col("n")) / F.sum("n")).collect()[0][0] or 1.0  # one value
-    counts = parts.join(words, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("any"), F.sum(F.when(F.col("full"), F.col("n")).otherwise(0)).alias("whole"))
+    is_long = F.length("word") > LONG_WORD
+    parts = tokens.select("n", "token", F.explode(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(LONG_WORD)))).alias("i")).select("n", F.left("token", F.col("i")).alias("word"), (F.col("i") == F.length("token")).alias("full"))
+    # summed per prefix before any join: the shortest prefixes are few and have nearly all tokens
+    summed = parts.groupBy("word").agg(F.sum("n").alias("any"), F.sum(F.when(F.col("full"), F.col("n")).otherwise(0)).alias("whole"))
+    counts = summed.join(words.where(~is_long), "word", "left_semi").unionByName(_long_prefixes(tokens, words.where(is_long)))
     return counts.select("word", (F.greatest(F.col("any") - 0.5, F.lit(0.5)) / F.greatest(F.col("whole") - 0.5, F.lit(0.5)) / mean).alias("word_odds"))
 
 
+def _long_prefixes(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """word, any, whole of words above ``LONG_WORD``: sorted by text, the tokens that begin with a word follow it."""
+    head = lambda c: F.left(c, F.lit(LONG_WORD)).alias("head")
+    last = F.concat("word", F.lit("\U0010ffff"))  # sorts after all that begins with the word
+    marks = words.select(head("word"), F.col("word").alias("at"), "word", F.lit(-1).alias("side"), F.lit(0).alias("n")).unionByName(words.select(head("word"), last.alias("at"), "word", F.lit(1).alias("side"), F.lit(0).alias("n")))
+    rows = marks.unionByName(tokens.where(F.length("token") > LONG_WORD).select(head("token"), F.col("token").alias("at"), F.col("token").alias("word"), F.lit(0).alias("side"), "n"))
+    so_far = F.sum("n").over(Window.partitionBy("head").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = rows.withColumn("so_far", so_far).groupBy("word").agg(
+        F.max(F.when(F.col("side") == 1, F.col("so_far"))).alias("upto"), F.max(F.when(F.col("side") == -1, F.col("so_far"))).alias("before"), F.sum("n").alias("whole")
+    )
+    return summed.where("upto is not null").select("word", (F.col("upto") - F.col("before")).alias("any"), "whole")
+
+
 def fit_rates(counts: pd.DataFrame, *, rounds: int = 500) -> pd.DataFrame:
     """EM for one source: the share of texts cut at no special length. ``counts``: source, log_odds (binned), n."""
     odds, n = np.exp(counts["log_odds"].to_numpy(float)), counts["n"].to_numpy(float)
@@ -207,7 +269,9 @@ def find_truncated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     words = ends.where("word <> ''").select("word").distinct()
     # texts that don't stop in a word, which are most, take no part in the join
     stopped = ends.where("word <> ''").join(_word_odds(docs, text, words), "word", "left")
-    judged = stopped.unionByName(ends.where("coalesce(word, '') = ''"), allowMissingColumns=True).select("key", "source", (F.log("odds") + F.coalesce(F.log("word_odds"), F.lit(0.0)) + F.element_at(F.array(*map(F.lit, MARK_WEIGHTS)), F.col("mark") + 1)).alias("log_odds"))
+    marks = [math.log(x) for x in _mark_odds(features)]
+    marked = F.element_at(F.array(*map(F.lit, marks[-1:] + marks[:-1])), F.col("mark") + 2)
+    judged = stopped.unionByName(ends.where("coalesce(word, '') = ''"), allowMissingColumns=True).select("key", "source", (F.log("odds") + F.coalesce(F.log("word_odds"), F.lit(0.0)) + marked).alias("log_odds"))
     judged = shelve(judged.join(at, "key", "left"), "judged")
     bins = judged.where("limit is null").groupBy("source", F.round("log_odds", 1).alias("log_odds")).agg(F.count("*").alias("n"))
     rates = bins.groupBy("source").applyInPandas(fit_rates, "source string, rate double")
