@@ -10,6 +10,7 @@ pairs of items, those never seen together included.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from noteweave.llm.discovery import with_q_values
 #: size); it bounds the driver's part of the fit and changes no count. Above it y is approximate, while x
 #: is solved for each distinct frequency, so that every item's expected frequency is the observed one.
 CLASSES = 512
+#: A basket of more items than this is split into parts that make their pairs in tasks of their own.
+LONG_BASKET = 1_000
 
 
 def _classes(values: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,6 +50,9 @@ def fit_null(item_freq: np.ndarray, item_n: np.ndarray, basket_size: np.ndarray,
         x, y = new_x, new_y
         if moved < tolerance:
             break
+    else:
+        if moved > 1e-3:
+            warnings.warn(f"after {rounds} rounds expected frequencies or sizes are still off by up to {moved:.1e} of themselves", stacklevel=2)
     return x, y
 
 
@@ -129,16 +135,20 @@ def _log10_normal_tail(z: np.ndarray) -> np.ndarray:
     return np.where(z < 10, np.log10(near.clip(1e-300)), far / np.log(10))
 
 
-def pair_counts(baskets: DataFrame, items: DataFrame) -> DataFrame:
-    """a, b, n: in how many baskets both items of ``items`` (item, freq) lie; a < b by code point.
+def pair_counts(baskets: DataFrame, *, long_basket: int = LONG_BASKET) -> DataFrame:
+    """a, b, n: in how many baskets both items lie; a < b by code point.
 
-    ``baskets`` (basket, items: array of distinct texts). Items outside ``items`` are dropped before any
-    pair is made. Equal baskets are counted once with their number; pairs are summed on the map side.
+    ``baskets`` (basket, items: array of distinct texts). Equal baskets are counted once with their number;
+    pairs are summed on the map side. Baskets of more than ``long_basket`` items are dealt out by first items,
+    so that no task makes all pairs of one.
     """
-    kept = baskets.select("basket", F.explode("items").alias("item")).join(items.select("item"), "item", "left_semi")
-    sets = kept.groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("s")).where(F.size("s") > 1)
-    folded = sets.groupBy("s").agg(F.count("*").alias("w"))
-    firsts = folded.select("w", "s", F.posexplode("s").alias("i", "a"))
+    sets = baskets.select(F.array_sort("items").alias("s")).where(F.size("s") > 1)
+    folded = sets.groupBy("s").agg(F.count("*").alias("w")).withColumn("k", F.size("s"))
+    short = folded.where(F.col("k") <= long_basket).select("w", "s", F.posexplode("s").alias("i", "a"))
+    parts = F.ceil(F.col("k") / long_basket * F.col("k") / long_basket).cast("int")
+    dealt = folded.where(F.col("k") > long_basket).withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.repartition("part", F.xxhash64("s")).select("w", "s", "part", "parts", F.posexplode("s").alias("i", "a")).where(F.pmod("i", "parts") == F.col("part"))
+    firsts = short.unionByName(dealt.select("w", "s", "i", "a"))
     pairs = firsts.select("w", "a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.sum("w").alias("n"))
 
@@ -151,25 +161,18 @@ def surprising_pairs(baskets: DataFrame, *, min_count: int = 3, min_share: float
     n_b, baskets, lift = n·N/(n_a·n_b), expected (under the null), log10_p, q_value, for pairs with
     n >= ``min_count``, n/N >= ``min_share`` and lift > ``min_lift``.
 
-    Items that can't be in any such pair are dropped first: the count of a pair is at most that of its
-    rarer item, and its lift is at most N/n of its more frequent one, so nothing of the result is lost;
-    it also takes the hot items out. The number of items left is at most (mean basket size)/``min_share``.
-    An empty table gives no rows.
+    Every pair that occurs is counted and tested, and ``q_value`` ranks it among all pairs of items (those that
+    never meet have p = 1); only then the thresholds take pairs out. An empty table gives no rows.
     """
-    spark = baskets.sparkSession
-    clean = baskets.select("basket", F.array_distinct(F.array_compact("items")).alias("items")).where(F.size("items") > 0)
+    clean = shelve(baskets.select("basket", F.array_distinct(F.array_compact("items")).alias("items")).where(F.size("items") > 0), "baskets")
     sizes = clean.groupBy(F.size("items").alias("size")).agg(F.count("*").alias("n")).orderBy("size")
     size_rows = sizes.toPandas()  # one row per distinct basket size
     total = int(size_rows["n"].sum())
     freq = shelve(clean.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("freq")), "items")
     freq_rows = freq.groupBy("freq").agg(F.count("*").alias("n")).orderBy("freq").toPandas()  # one row per distinct frequency
-    least = max(min_count, min_share * total * (1 - 1e-9))
-    able = freq.where(F.col("freq") >= F.lit(least))
-    if min_lift > 0:
-        able = able.where(F.lit(float(total)) / F.col("freq") > min_lift)
     i_freq, i_n, i_class = _classes(freq_rows["freq"].to_numpy(), freq_rows["n"].to_numpy(), classes) if total else (np.ones(1), np.ones(1), np.zeros(0, int))
     g_size, g_n, _ = _classes(size_rows["size"].to_numpy(), size_rows["n"].to_numpy(), classes) if total else (np.ones(1), np.ones(1), np.zeros(0, int))
-    x, y = fit_null(i_freq, i_n, g_size, g_n)
+    x, y = fit_null(i_freq, i_n, g_size, g_n) if total else (np.ones(1), np.ones(1))
     own = x[i_class]
     if len(i_freq) < len(freq_rows):
         own = solve_fitness(freq_rows["freq"].to_numpy(), y, g_n, own)
@@ -181,10 +184,10 @@ def surprising_pairs(baskets: DataFrame, *, min_count: int = 3, min_share: float
             q = xa / (1 + xa) * (xb / (1 + xb))
             yield d.assign(expected=q @ g_n, log10_p=log_upper_tail(d["n"].to_numpy(), q, g_n))
 
-    counted = pair_counts(clean, able).where(F.col("n") >= F.lit(least))
     n_a, n_b = (freq.select(F.col("item").alias(c), F.col("freq").alias(f"n_{c}")) for c in "ab")
-    counted = counted.join(n_a, "a").join(n_b, "b").withColumn("lift", F.col("n").cast("double") * total / (F.col("n_a").cast("double") * F.col("n_b")))
-    counted = counted.where(F.col("lift") > min_lift).select("a", "b", "n", "n_a", "n_b", F.lit(total).cast("long").alias("baskets"), "lift")
+    counted = pair_counts(clean).join(n_a, "a").join(n_b, "b").withColumn("lift", F.col("n").cast("double") * total / (F.col("n_a").cast("double") * F.col("n_b")))
+    counted = counted.select("a", "b", "n", "n_a", "n_b", F.lit(total).cast("long").alias("baskets"), "lift")
     tested = shelve(counted.mapInPandas(tails, "a string, b string, n long, n_a long, n_b long, baskets long, lift double, expected double, log10_p double"), "pairs")
     kinds = int(freq_rows["n"].sum()) if total else 0
-    return with_q_values(tested, kinds * (kinds - 1) // 2)
+    least = max(min_count, min_share * total * (1 - 1e-9))
+    return with_q_values(tested, kinds * (kinds - 1) // 2).where((F.col("n") >= F.lit(least)) & (F.col("lift") > min_lift))

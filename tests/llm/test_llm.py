@@ -11,11 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from noteweave.llm import queries as Q
-from noteweave.llm.cooccurrence import CLASSES, _classes, fit_null, log_upper_tail, solve_fitness, surprising_pairs
+from noteweave.llm.cooccurrence import CLASSES, _classes, fit_null, log_upper_tail, pair_counts, solve_fitness, surprising_pairs
 from noteweave.llm.discovery import with_q_values
 from noteweave.llm.encoding import TOKENIZERS, TreeCodec, decode_corpus, encode_corpus
 from noteweave.llm.leakage import SEEDS, blocks, find_leaks, make_block, words
-from noteweave.llm.truncation import find_truncated, length_hazards, poisson_tail
+from noteweave.llm.truncation import SPAN, _word_odds, find_truncated, length_hazards, poisson_tail
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string"
@@ -104,6 +104,31 @@ def test_q_values(spark):
     assert np.allclose(got, want, rtol=1e-6)
 
 
+def test_a_million_ties_fill_many_tasks(spark):
+    df = spark.range(1_000_000).select("id", F.when(F.col("id") < 50, -F.col("id") / 5.0).otherwise(0.0).alias("log10_p"))
+    got = with_q_values(df, 2_000_000).withColumn("task", F.spark_partition_id())
+    assert got.groupBy("task").count().agg(F.max("count")).collect()[0][0] < 600_000
+    rows = {r["id"]: r["q_value"] for r in got.where("id < 60").collect()}
+    raw = [min(1.0, 10 ** (-i / 5) * 2_000_000 / (50 - i)) for i in range(50)]
+    assert np.allclose([rows[i] for i in range(50)], [min(raw[: i + 1]) for i in range(50)]) and {rows[i] for i in range(50, 60)} == {1.0}
+
+
+def test_q_values_rank_among_all_pairs(spark):
+    rnd = random.Random(6)
+    data = [rnd.sample([f"t{i}" for i in range(25)], rnd.randint(2, 6)) for _ in range(200)] + [["t1", "t2"]] * 30
+    whole = {(r["a"], r["b"]): r["q_value"] for r in surprising_pairs(baskets(spark, data), min_count=1).collect()}
+    for more in ({"min_count": 12}, {"min_lift": 1.3}):
+        got = {(r["a"], r["b"]): r["q_value"] for r in surprising_pairs(baskets(spark, data), **more).collect()}
+        assert got and len(got) < len(whole) and all(whole[k] == q for k, q in got.items())
+
+
+def test_long_baskets_are_dealt_out(spark):
+    data = [[f"t{i:03d}" for i in range(k)] for k in (60, 60, 45, 3)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(data)], "basket int, items array<string>")
+    got = {(r["a"], r["b"]): r["n"] for r in pair_counts(df, long_basket=10).collect()}
+    assert got == brute_pairs(data, 1)
+
+
 def test_p3_surprise_keeps_rare_pairs_of_many_pages(spark, tmp_path):
     tags = F.when(F.col("id") < 3, F.array(F.lit("#Rare a"), F.lit("rare b"))).when(F.col("id") < 5, F.array(F.lit("twice a"), F.lit("twice b"))).otherwise(F.array(F.concat(F.lit("t"), F.col("id") % 50))).alias("tags")
     pages = spark.range(16_000).select(F.concat(F.lit("p"), "id").alias("page_path"), tags, F.lit(1).cast("long").alias("revision"), F.lit("2024-01-01").cast("timestamp").alias("loaded_at"))
@@ -286,9 +311,52 @@ def test_hazards(spark):
     df = spark.createDataFrame(rows, "t string, source string, chars long, content long").withColumn("bytes", F.col("chars"))
     got = {(r["unit"], r["length"]): r for r in length_hazards(df).collect()}
     assert got["chars", 1000]["q_value"] < 1e-20 and got["chars", 1000]["n"] == 90 and got["chars", 501]["q_value"] > 0.5
+    whole, counts = length_hazards(df.where("source = 's'"), reach=64).where("unit = 'chars'").collect(), collections.Counter(r[2] for r in rows)
+    for r in whole:
+        near = [k for k in range(max(1, r["length"] - 64), r["length"] + 65) if k != r["length"]]
+        risk = lambda k: sum(n for at, n in counts.items() if at >= k)
+        assert r["at_risk"] == risk(r["length"]) and r["expected"] == pytest.approx(r["at_risk"] * (sum(counts[k] for k in near) + 0.5) / max(sum(map(risk, near)), 1))
     assert got["chars", 1399]["at_risk"] == 1 and poisson_tail(np.array([3, 1]), np.array([1.0, 2.0]))[0] == pytest.approx(np.log10(1 - 2.5 * np.exp(-1)), abs=1e-9)
 
 
+def test_hazards_across_ranges(spark):
+    rnd = random.Random(2)
+    lengths = [SPAN * 2 - 3, SPAN * 2, SPAN * 2 + 1, SPAN * 2 + 60, 5, 1, SPAN * 7] + [rnd.randint(SPAN - 90, SPAN + 90) for _ in range(150)]
+    df = spark.createDataFrame([("s", n, n, i) for i, n in enumerate(lengths)], "source string, chars long, bytes long, content long")
+    got = {(r["unit"], r["length"]): (r["n"], r["at_risk"], r["expected"]) for r in length_hazards(df).collect()}
+    counts = collections.Counter(lengths)
+    for at, n in counts.items():
+        near = [k for k in range(max(1, at - 64), at + 65) if k != at]
+        risk = lambda k: sum(m for x, m in counts.items() if x >= k)
+        assert got["chars", at] == (n, risk(at), pytest.approx(risk(at) * (sum(counts[k] for k in near) + 0.5) / max(sum(map(risk, near)), 1)))
+        rest, ring = at % 512, collections.Counter(x % 512 for x in lengths)
+        around = sum(ring[(rest + d) % 512] for d in range(-64, 65) if d)
+        assert got["bytes in blocks of 512", rest] == (ring[rest], len(lengths), pytest.approx((around + 0.5) / 128))
+
+
+def test_words_of_any_length_against_brute_force(spark):
+    rnd = random.Random(11)
+    tokens = ["".join(rnd.choice("ab") for _ in range(rnd.choice([1, 2, 3, 63, 64, 65, 66]))) for _ in range(60)] + ["a" * n for n in (64, 65, 70, 70, 500, 1000)] + ["ab" * 40] * 3
+    df = spark.createDataFrame([(" ".join(tokens),), ("Ab1 ab",), (None,), ("",)], "text string")
+    seen = collections.Counter(t.lower() for t in tokens + ["ab", "ab"])
+    words = sorted({t[: rnd.randint(1, len(t))] for t in tokens} | {"a" * 65, "a" * 700})
+    got = {r["word"]: r["word_odds"] for r in _word_odds(df, "text", spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    mean = sum(len(t) * n for t, n in seen.items()) / sum(seen.values())
+    for w in words:
+        some = sum(n for t, n in seen.items() if t.startswith(w))
+        if some:
+            assert got[w] == pytest.approx(max(some - 0.5, 0.5) / max(seen[w] - 0.5, 0.5) / mean)
+
+
+def test_ends_of_long_lines_count_whole(spark):
+    from noteweave.llm.truncation import _ending
+
+    texts = {"x = [" + "1, " * 9000 + "\n": (True, "w = ", None), "(" + "word " * 30_000 + "half": (False, "(W", "half"), " " * 200_000 + "}": (False, ">}", ""), "a;\r\n\n": (True, "w;", None), "b" * 200_000: (False, "w", "b" * 200_000)}
+    got = {r["t"]: r["e"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", _ending(F.col("t")).alias("e")).collect()}
+    for t, (nl, start, word) in texts.items():
+        assert (got[t]["nl"], got[t]["word"]) == (nl, word) and got[t]["shape"].startswith(start[:3])
+
+
 def test_p8_found(spark):
     got = [r[0] for r in Q.p8_found(spark, SF).collect()]
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
