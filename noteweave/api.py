@@ -89,12 +89,13 @@ class coerce:  # noqa: N801 - a namespace
 
 
 class Engine:
-    """Everything that can be asked of an object store. ``source``: the file that asks, for relative links and ``this``."""
+    """Everything that can be asked of an object store. ``source``: the file that asks, for relative links and ``this``;
+    ``strict``: a row for which an expression has no value fails the query instead of not matching."""
 
     coerce = coerce
 
-    def __init__(self, store: ObjectStore, source: str | None = None):
-        self.store, self.source = store, source
+    def __init__(self, store: ObjectStore, source: str | None = None, *, strict: bool = False):
+        self.store, self.source, self.strict = store, source, strict
 
     # queries
 
@@ -107,14 +108,13 @@ class Engine:
     def full_query(self, q: str | A.Query) -> SearchResult:
         start = time.perf_counter()
         tree = A.simplify(parse_query(q) if isinstance(q, str) else q)
-        return SearchResult(tree, Planner(self.store, self._this()).run(tree), time.perf_counter() - start)
+        return SearchResult(tree, Planner(self.store, self._this(), folder=self._folder(), strict=self.strict).run(tree), time.perf_counter() - start)
 
     def try_full_query(self, q: str | A.Query) -> Result[SearchResult]:
         return Result.trying(lambda: self.full_query(q))
 
     def _this(self) -> dict[str, Any] | None:
-        row = self.page(self.source) if self.source else None
-        return {k: v for k, v in row.asDict().items() if isinstance(v, (str, float, int, bool, dt.datetime))} if row else None
+        return self.store.load(self.source) if self.source else None
 
     def page(self, path: str | Link) -> Row | None:
         """The object of a file by its full path."""
@@ -136,7 +136,7 @@ class Engine:
 
     def local(self, path: str) -> Engine:
         """This interface as the file ``path`` sees it."""
-        return Engine(self.store, path)
+        return Engine(self.store, path, strict=self.strict)
 
     def current_path(self) -> str | None:
         return self.source
@@ -146,14 +146,10 @@ class Engine:
 
     def resolve_path(self, path: str | Link) -> str | None:
         """The full path of the file that a link's path names from here; None if there is none."""
-        wanted = (path.path if isinstance(path, Link) else path)
-        absolute = wanted.lstrip("/")
-        here = self.source.rpartition("/")[0] if self.source and not wanted.startswith("/") else ""
-        for candidate in ([f"{here}/{absolute}"] if here else []) + [absolute]:
-            found = Planner(self.store)._link_target(Link(candidate)).take(1)
-            if found:
-                return found[0]["id"]
-        return None
+        return self.store.find(Link(path.path if isinstance(path, Link) else path), self._folder())
+
+    def _folder(self) -> str | None:
+        return self.source.rpartition("/")[0] if self.source else None
 
     def element_text(self, element_id: str, content: DataFrame) -> str | None:
         """The lines of an object. ``content``: path, content of the files."""
@@ -203,12 +199,5 @@ class Engine:
         return Result.trying(lambda: self.evaluate(expression, variables))
 
     def _load(self, link: Link) -> dict | None:
-        from noteweave.functions.literals import loads
-
-        path = self.resolve_path(link)
-        row = self.page(path) if path else None
-        if row is None:
-            return None
-        values = row.asDict(True)
-        own = {k: loads(v) for k, v in (values.get("fields") or {}).items()} if self.store.json_fields else {}
-        return {**{n: values.get(f.column) for n, f in self.store.fields.items()}, **own}
+        target = self.store.find(link, self._folder())
+        return self.store.load(target) if target else None

@@ -60,7 +60,7 @@ def call(name: str, args: list[Any]) -> Any:
         return f(*args)
     except EvaluationError:
         raise
-    except (TypeError, AttributeError, ValueError, IndexError, re.error) as e:
+    except (TypeError, AttributeError, ValueError, IndexError, ArithmeticError, re.error) as e:
         raise EvaluationError(f"{name}({', '.join(map(type_of, args))}): {e}") from e
 
 
@@ -77,6 +77,15 @@ def js_regex(pattern: str) -> re.Pattern:
 
 
 def binary(op: str, a: Any, b: Any) -> Any:
+    try:
+        return _binary(op, a, b)
+    except (ArithmeticError, ValueError, TypeError) as e:
+        if isinstance(e, EvaluationError):
+            raise
+        raise EvaluationError(f"{type_of(a)} {op} {type_of(b)}: {e}") from e
+
+
+def _binary(op: str, a: Any, b: Any) -> Any:
     if a is None and b is None:
         return None
     if op in ("<", "<=", ">", ">=", "=", "!="):

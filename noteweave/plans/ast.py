@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -91,6 +92,25 @@ def children(n: Node) -> tuple[Node, ...]:
     return (n.value,) if isinstance(n, Not) else ()
 
 
+def rebuilt(n: Node, f: Callable[[Node], Node]) -> Node:
+    """``n`` with ``f`` of each of its parts."""
+    if isinstance(n, ListOf):
+        return ListOf(tuple(map(f, n.items)))
+    if isinstance(n, ObjectOf):
+        return ObjectOf(tuple((k, f(v)) for k, v in n.items))
+    if isinstance(n, Bin):
+        return Bin(n.op, f(n.left), f(n.right))
+    if isinstance(n, Index):
+        return Index(f(n.value), f(n.key))
+    if isinstance(n, Call):
+        return Call(n.func if isinstance(n.func, Var) else f(n.func), tuple(map(f, n.args)))
+    if isinstance(n, Method):
+        return Method(f(n.target), n.name, tuple(map(f, n.args)))
+    if isinstance(n, Lambda):
+        return Lambda(n.params, f(n.body))
+    return Not(f(n.value)) if isinstance(n, Not) else n
+
+
 def free_variables(n: Node, bound: frozenset[str] = frozenset()) -> set[str]:
     """Names that an expression takes from its row. Functions are no variables, and parameters hide names in their body only."""
     if isinstance(n, Var):

@@ -36,6 +36,8 @@ class Kind:
 
 
 NULL, BOOLEAN, NUMBER, STRING, DATE, DURATION, LINK = map(Kind, ("null", "boolean", "number", "string", "date", "duration", "link"))
+#: Of no fixed kind: a JSON text, see ``variants``.
+VARIANT = Kind("variant")
 LINK_FIELDS = ["path", "type", "subpath", "display", "embed"]
 
 
@@ -144,6 +146,8 @@ def constant(v: Any) -> Val:
 
 
 def list_of(items: list[Val]) -> Val:
+    if any(v.kind == VARIANT for v in items):
+        raise NotStatic("a list of no fixed kind")
     kinds = {v.kind for v in items if v.kind != NULL}
     if len(kinds) > 1:
         raise NotStatic("a list of several kinds")
@@ -154,8 +158,8 @@ def list_of(items: list[Val]) -> Val:
 
 def object_of(items: list[tuple[str, Val]]) -> Val:
     last = dict(items)
-    if not last:
-        raise NotStatic("an empty object")
+    if not last or any(v.kind == VARIANT for v in last.values()):
+        raise NotStatic("an object that is empty or of no fixed kind")
     return Val(F.struct(*((v.col if v.kind != NULL else v.col.cast("string")).alias(k) for k, v in last.items())), Kind("object", None, tuple((k, v.kind if v.kind != NULL else STRING) for k, v in last.items())))
 
 
@@ -165,6 +169,10 @@ def object_of(items: list[tuple[str, Val]]) -> Val:
 def truth(v: Val) -> Column:
     """Whether the value counts as true; never null."""
     c = v.col
+    if v.kind == VARIANT:
+        from noteweave.plans import variants
+
+        return variants.truth(c)
     by = {
         "null": lambda: F.lit(False), "boolean": lambda: c, "number": lambda: (c != 0) | F.isnan(c), "string": lambda: c != "", "date": lambda: F.unix_millis(c) != 0,
         "duration": lambda: duration_ms(c) != 0, "link": lambda: c["path"] != "", "array": lambda: F.size(c) > 0, "object": lambda: c.isNotNull() if v.kind.fields else F.size(c) > 0,
@@ -198,6 +206,10 @@ def _ordered(v: Val) -> Column:
 
 def compared(op: str, a: Val, b: Val) -> Column:
     """``a op b`` in the total order, null only where both are null."""
+    if VARIANT in (a.kind, b.kind):
+        from noteweave.plans import variants
+
+        return variants.compared(op, a, b)
     if a.kind == NULL and b.kind == NULL:
         return F.lit(None).cast("boolean")
     if a.name != b.name and NULL not in (a.kind, b.kind):
@@ -323,10 +335,14 @@ def binary(op: str, a: Val, b: Val) -> Val:
     if op in ("<", "<=", ">", ">=", "=", "!="):
         return boolean(compared(op, a, b))
     if op in ("&", "|"):
+        from noteweave.plans.variants import is_null
+
         x, y = truth(a), truth(b)
-        both = a.col.isNull() & b.col.isNull()
+        both = is_null(a) & is_null(b)
         return boolean(F.when(both, F.lit(None).cast("boolean")).otherwise(x & y if op == "&" else x | y))
     ka, kb = a.name, b.name
+    if VARIANT in (a.kind, b.kind):
+        raise NotStatic(f"{op} of no fixed kind")
     if NULL in (a.kind, b.kind):
         if a.kind == b.kind:
             return null()
@@ -421,9 +437,7 @@ class Compiler:
             return Fn(n.params, n.body, env, self)
         if isinstance(n, A.Index):
             if isinstance(n.value, A.Var) and n.value.name == "$parent" and "$parent" not in env and isinstance(n.key, A.Lit):
-                dotted = self.variable(f"$parent.{n.key.value}")
-                if dotted is not None:
-                    return dotted
+                return self.variable(f"$parent.{n.key.value}") or null()
             return self.index(self.value(n.value, env), self.value(n.key, env))
         if isinstance(n, A.Method):
             return self.call(n.name, [self.any(x, env) for x in (n.target, *n.args)])
@@ -438,9 +452,13 @@ class Compiler:
     def call(self, name: str, args: list[Val | Fn]) -> Val:
         from noteweave.functions.columns import call_column
 
+        if any(isinstance(x, Val) and x.kind == VARIANT for x in args):
+            raise NotStatic(f"{name} of no fixed kind")
         return call_column(name, args)
 
     def index(self, v: Val, key: Val) -> Val:
+        if VARIANT in (v.kind, key.kind):
+            raise NotStatic("an index of no fixed kind")
         if NULL in (v.kind, key.kind):
             return null()
         c = v.col

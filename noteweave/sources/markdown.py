@@ -380,24 +380,44 @@ def read_vault(spark: SparkSession, folder: str, revision: int = 0) -> DataFrame
     return parse_files(text.unionByName(other), revision)
 
 
+def resolve_links(objects: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (path, type, subpath, folder and any others, rows distinct) with dst_id, the object that a link read
+    in ``folder`` leads to: by the path from there, by the path, by either and ``.md``, or by a file name that only
+    one file has. A leading ``/`` leaves the folder out. Of several headers of one text the first counts. Rows
+    that lead nowhere fall away."""
+    o = objects
+    files = o.where(F.col("id") == F.col("file")).select(F.col("file").alias("dst_file"))
+    bare = lambda df, c: df.where(F.col(c).endswith(".md")).withColumn(c, F.regexp_replace(c, r"\.md$", ""))
+    paths = files.select("dst_file", F.col("dst_file").alias("key"))
+    names = files.withColumn("key", F.substring_index("dst_file", "/", -1))
+    only = names.unionByName(bare(names, "key")).groupBy("key").agg(F.count("*").alias("n"), F.min("dst_file").alias("dst_file")).where("n = 1")
+    places = paths.withColumn("at", F.lit(0)).unionByName(bare(paths, "key").withColumn("at", F.lit(1))).select("dst_file", "key", "at", F.lit(False).alias("name"))
+    places = places.unionByName(only.select("dst_file", "key", F.lit(0).alias("at"), F.lit(True).alias("name")))
+    path = F.regexp_replace("path", "^/+", "")
+    near = F.when((F.col("folder") != "") & ~F.col("path").startswith("/"), F.struct(F.lit(0).alias("rank"), F.concat("folder", F.lit("/"), path).alias("key"), F.lit(False).alias("name")))
+    ways = F.array_compact(F.array(near, *(F.struct(F.lit(i + 1).alias("rank"), path.alias("key"), F.lit(name).alias("name")) for i, name in enumerate((False, True)))))
+    tried = wanted.withColumn("_way", F.explode(ways)).select(*wanted.columns, "_way.*")
+    best = tried.join(places, ["key", "name"]).groupBy(*wanted.columns).agg(F.min_by("dst_file", F.struct("rank", "at", "dst_file")).alias("dst_file"))
+    text = F.when(F.col("type") == "header", F.concat("dst_file", F.lit("#"), "subpath")).when(F.col("type") == "block", F.concat("dst_file", F.lit("#^"), "subpath")).otherwise(F.col("dst_file"))
+    keys = o.where("link_key is not null").groupBy("link_key").agg(F.min_by("id", F.struct(F.col("position.start"), F.col("id"))).alias("dst_id"))
+    return best.withColumn("link_key", text).join(keys, "link_key").select(*wanted.columns, "dst_id")
+
+
 def vault_store(objects: DataFrame) -> ObjectStore:
-    """Objects of a vault as a store. Links resolve by exact path, by path and ``.md``, or by a file name that only one file has."""
+    """Objects of a vault as a store; for links see ``resolve_links``."""
     o = objects
+    resolve = lambda wanted: resolve_links(o, wanted if "folder" in wanted.columns else wanted.withColumn("folder", F.lit(None).cast("string")))
 
     def resolved() -> DataFrame:
-        links = o.where(F.array_contains("types", "linkable")).select(F.col("id").alias("src_id"), F.explode("links").alias("l"))
-        wanted = links.select("src_id", F.col("l.path").alias("want"), "l.type", "l.subpath")
-        files = o.where(F.col("id") == F.col("file")).select(F.col("file").alias("dst_file"))
-        named = files.withColumn("base", F.substring_index("dst_file", "/", -1))
-        names = named.unionByName(named.where(F.col("base").endswith(".md")).withColumn("base", F.regexp_replace("base", r"\.md$", "")))
-        only = names.groupBy("base").agg(F.count("*").alias("n"), F.min("dst_file").alias("dst_file")).where("n = 1").select(F.col("base").alias("want"), F.col("dst_file").alias("by_name"))
-        exact = files.select(F.col("dst_file").alias("want"), F.col("dst_file").alias("by_path"))
-        with_md = files.where(F.col("dst_file").endswith(".md")).select(F.regexp_replace("dst_file", r"\.md$", "").alias("want"), F.col("dst_file").alias("by_md"))
-        hit = wanted.join(exact, "want", "left").join(with_md, "want", "left").join(only, "want", "left").withColumn("dst_file", F.coalesce("by_path", "by_md", "by_name")).where("dst_file is not null")
-        key = F.when(F.col("type") == "header", F.concat("dst_file", F.lit("#"), "subpath")).when(F.col("type") == "block", F.concat("dst_file", F.lit("#^"), "subpath")).otherwise(F.col("dst_file"))
-        return hit.select("src_id", key.alias("link_key")).join(o.where("link_key is not null").select("link_key", F.col("id").alias("dst_id")), "link_key").select("src_id", "dst_id")
+        held = o.where(F.array_contains("types", "linkable")).select(F.col("id").alias("src_id"), "folder", F.explode("links").alias("l")).select("src_id", "folder", "l.path", "l.type", "l.subpath")
+        target = ["folder", "path", "type", "subpath"]
+        led = resolve(held.select(*target).distinct())  # few distinct targets are looked up, many links joined with them
+        same = (F.col("h.path") == F.col("t.path")) & (F.col("h.type") == F.col("t.type")) & F.col("h.subpath").eqNullSafe(F.col("t.subpath")) & F.col("h.folder").eqNullSafe(F.col("t.folder"))
+        return held.alias("h").join(led.alias("t"), same).select("h.src_id", "t.dst_id")
 
     back = resolved().join(o.select(F.col("id").alias("dst_id"), F.col("link_key").alias("dst_key")), "dst_id").select("src_id", "dst_key")
     all_links = o.where(F.array_contains("types", "links")).select(F.col("id").alias("src_id"), F.explode("links").alias("l"))
     exact = all_links.select("src_id", F.concat("l.path", F.when(F.col("l.type") == "header", F.concat(F.lit("#"), F.col("l.subpath"))).when(F.col("l.type") == "block", F.concat(F.lit("#^"), F.col("l.subpath"))).otherwise("")).alias("dst_key"))
-    return ObjectStore(o, dict(INTRINSIC), closure=lambda: o.select("id", F.explode("ancestors").alias("ancestor")), links=exact.unionByName(back).distinct(), resolved=resolved, json_fields="fields")
+    return ObjectStore(
+        o, dict(INTRINSIC), closure=lambda: o.select("id", F.explode("ancestors").alias("ancestor")), links=exact.unionByName(back).distinct(), resolved=resolved, json_fields="fields", resolve=resolve
+    )

@@ -199,3 +199,71 @@ def test_edits():
 def test_odd_files():
     assert len(markdown_objects("a.md", "")) == 1 and len(objects_of("c.canvas", "not json")) == 1 and len(objects_of("c.canvas", "")) == 1
     assert objects_of("x/noending", None)[0]["extension"] == "" and len(markdown_objects("l.md", "- a\n" * 5000)) == 5003
+
+
+# fields of no fixed kind, of parents and of what links lead to
+
+LINKED = {
+    "Go.md": "rating:: 7\nborn:: 2001-05-06\n\n# Play\nslow:: true\n",
+    "Chess.md": "rating:: 9\nauthor:: [[Go]]\nteam:: [[Go]], [[Sub/Ludo]]\n\n# Rules\nrating:: none\n",
+    "Sub/Ludo.md": "rating:: 2\nauthor:: [[Race]]\nspan:: 3h\n\n# Dice\nlink:: [[Race]]\n",
+    "Sub/Race.md": "rating:: high\nauthor:: [[/Chess]]\n",
+    "Race.md": "rating:: 1\n",
+}
+
+
+@pytest.fixture(scope="module")
+def linked(spark):
+    return vault_store(parse_files(files(spark, LINKED), 1).cache())
+
+
+LINK_QUERIES = {
+    "@page and rating > [[Go]].rating": ["Chess.md", "Sub/Race.md"],
+    "@page and rating > [[Missing]].rating": ["Chess.md", "Go.md", "Race.md", "Sub/Ludo.md", "Sub/Race.md"],
+    "@page and author.rating = 7": ["Chess.md"],
+    "@page and author.author.rating = 7": ["Sub/Race.md"],
+    "@page and author.rating = \"high\"": ["Sub/Ludo.md"],  # read from its own folder
+    "@page and author.author.author = [[Go]]": ["Sub/Ludo.md"],
+    "@section and $parent.rating = 9": ["Chess.md/section0/Chess", "Chess.md/section1/Rules"],
+    "@section and $parent.author.rating = 7": ["Chess.md/section0/Chess", "Chess.md/section1/Rules"],
+    "@section and $parent.$name = \"Ludo\" and exists(link)": ["Sub/Ludo.md/section1/Dice"],
+    "@section and (link.rating = \"high\" or $parent.rating > 7)": ["Chess.md/section0/Chess", "Chess.md/section1/Rules", "Sub/Ludo.md/section1/Dice", "Sub/Race.md/section0/Race"],
+    "@page and contains(map(team, (t) => t.rating), 2)": ["Chess.md"],
+    "@page and team.rating[1] = 2": ["Chess.md"],
+    "@page and born.year = 2001": ["Go.md"],
+    "@page and span > dur(2h) and span < dur(4h)": ["Sub/Ludo.md"],
+    "@page and born < date(2002-01-01)": ["Go.md"],
+    "@section and slow": ["Go.md/section1/Play"],
+    "@section and slow = true": ["Go.md/section1/Play"],
+    "@page and rating != 9 and rating < \"m\"": ["Go.md", "Race.md", "Sub/Ludo.md", "Sub/Race.md"],
+    "@page and author = [[Go]]": ["Chess.md"],
+    "@page and !(author & rating > 5)": ["Go.md", "Race.md", "Sub/Ludo.md"],
+    "childof(@page and rating = 9) and @section": ["Chess.md/section0/Chess", "Chess.md/section1/Rules"],
+    "@section and ($parent.rating = 9 or childof(@page and author.rating = \"high\"))": ["Chess.md/section0/Chess", "Chess.md/section1/Rules", "Sub/Ludo.md/section0/Ludo", "Sub/Ludo.md/section1/Dice"],
+}
+
+
+@pytest.mark.parametrize("q", LINK_QUERIES)
+def test_fields_through_links_and_parents(linked, q):
+    got = sorted(r["id"] for r in Planner(linked).run(q).select("id").collect())
+    assert got == LINK_QUERIES[q]
+
+
+def test_plain_field_filters_need_no_python(linked):
+    for q in ("@page and rating > [[Go]].rating", "@section and $parent.rating = 9", "@page and born < date(2002-01-01)", "@section and slow", "@page and author = [[Go]]"):
+        plan = Planner(linked).run(q)._jdf.queryExecution().executedPlan().toString()
+        assert "PythonUDF" not in plan and "ArrowEval" not in plan and "NestedLoop" not in plan, q
+
+
+def test_what_has_no_value_matches_nothing_unless_strict(linked):
+    assert [r["id"] for r in Planner(linked).run("@page and rating - born > 0").collect()] == []
+    assert Planner(linked).run("@page and (span / 0) = dur(1h)").count() == 0 and Planner(linked).run("@page and (rating * span) > dur(1h)").count() == 1
+    with pytest.raises(Exception, match="no - of"):
+        Planner(linked, strict=True).run("@page and rating - born > 0").collect()
+
+
+def test_fields_of_the_asking_file(linked):
+    e = Engine(linked, "Sub/Ludo.md")
+    assert e.evaluate("this.author.rating") == "high" and e.local("Go.md").evaluate("this.born.year") == 2001
+    assert [r["id"] for r in e.query("@page and rating = this.rating").collect()] == ["Sub/Ludo.md"]
+    assert [r["id"] for r in e.query("[[Race]] and @page").collect()] == ["Sub/Ludo.md"] and e.resolve_path("Race") == "Sub/Race.md" and e.local("Go.md").resolve_path("Race") == "Race.md"
