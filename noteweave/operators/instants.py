@@ -138,6 +138,22 @@ def fit_notations(counts: pd.DataFrame, *, rounds: int = 200, tolerance: float =
     return pd.DataFrame({"source": counts["source"], "signature": counts["signature"], "pick": best, "posterior": posterior})
 
 
+def settle(read: DataFrame, *, likely: float = LIKELY) -> DataFrame:
+    """``read`` (source, readings and any others) with epoch_ms, notation, posterior and ambiguous: the likeliest of the
+    readings of each row, by the habits of its source. ``read`` is used twice, so it should be stored."""
+    read = read.withColumn("_signature", F.transform("readings", lambda x: x["notation"]))
+    counts = read.where(F.size("_signature") > 0).groupBy("source", F.col("_signature").alias("signature")).agg(F.count("*").alias("n"))
+    fitted = counts.groupBy("source").applyInPandas(fit_notations, "source string, signature array<string>, pick int, posterior double").where(F.size("signature") > 1)
+    one = F.get("readings", F.coalesce("pick", F.lit(0)))
+    same = F.size(F.array_distinct(F.transform("readings", lambda x: x["epoch_ms"]))) <= 1
+    sure = F.coalesce(same | (F.coalesce("posterior", F.lit(1.0)) >= likely), F.lit(True))
+    likeliest = F.when(F.size("readings") > 0, F.coalesce("posterior", F.lit(1.0)))
+    held = [c for c in read.columns if c not in ("readings", "_signature")]
+    return read.withColumnRenamed("_signature", "signature").join(fitted, ["source", "signature"], "left").select(
+        *held, F.when(sure, one["epoch_ms"]).alias("epoch_ms"), F.when(sure, one["notation"]).alias("notation"), likeliest.alias("posterior"), (~sure).alias("ambiguous")
+    )
+
+
 def normalise_instants(rows: DataFrame, *, key: str, source: str, raw: str, zone: str, likely: float = LIKELY) -> DataFrame:
     """``key``, ``epoch_ms``, ``notation``, ``posterior``, ``ambiguous`` of every row of ``rows``.
 
@@ -151,16 +167,4 @@ def normalise_instants(rows: DataFrame, *, key: str, source: str, raw: str, zone
     spark = rows.sparkSession
     src = F.coalesce(F.col(source), F.lit("")).alias("source")
     read = rows.select(F.col(key).alias("key"), src, readings(F.col(raw), F.col(zone), region_map(spark)).alias("readings"))
-    read = shelve(read.withColumn("signature", F.transform("readings", lambda x: x["notation"])), "readings")
-    counts = read.where(F.size("signature") > 0).groupBy("source", "signature").agg(F.count("*").alias("n"))
-    fitted = counts.groupBy("source").applyInPandas(fit_notations, "source string, signature array<string>, pick int, posterior double").where(F.size("signature") > 1)
-    one = F.get("readings", F.coalesce("pick", F.lit(0)))
-    same = F.size(F.array_distinct(F.transform("readings", lambda x: x["epoch_ms"]))) <= 1
-    sure = same | (F.coalesce("posterior", F.lit(1.0)) >= likely)
-    return read.join(fitted, ["source", "signature"], "left").select(
-        F.col("key").alias(key),
-        F.when(sure, one["epoch_ms"]).alias("epoch_ms"),
-        F.when(sure, one["notation"]).alias("notation"),
-        F.when(F.size("readings") > 0, F.coalesce("posterior", F.lit(1.0))).alias("posterior"),
-        (~sure).alias("ambiguous"),
-    )
+    return settle(shelve(read, "readings"), likely=likely).select(F.col("key").alias(key), "epoch_ms", "notation", "posterior", "ambiguous")

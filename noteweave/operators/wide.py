@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.common import let, shelve, strip
-from noteweave.operators.instants import readings, region_map
+from noteweave.operators.instants import readings, region_map, settle
 
 #: So many attributes become columns at most; a wider list is an error, never cut.
 MAX_COLUMNS = 2_000
@@ -42,7 +44,7 @@ def parsed(value: Column) -> Column:
 def typed(p: Column, kind: str, zone: Column, regions: Column) -> Column:
     """struct<v,fits>: what ``parsed`` gave in the declared type ``kind``, and whether it is of that type.
 
-    number: double; boolean; date: UTC timestamp; duration: seconds as double, null with years or
+    number: double; boolean; date: all its readings as moments, see ``instants``; duration: seconds as double, null with years or
     months, which have no fixed length; link: its path; list: its elements as text; text: its content.
     """
     what, text = p["what"], p["text"]
@@ -63,7 +65,7 @@ def typed(p: Column, kind: str, zone: Column, regions: Column) -> Column:
         tagged = F.coalesce(t["$_type"] == kind, F.lit(False))
         if kind == "date":
             moments = readings(F.when(scalar, text).when(tagged, t["value"]), zone, regions)
-            return let(F.get(moments, 0), lambda m: pair(F.timestamp_millis(m["epoch_ms"]), tagged | scalar & m.isNotNull()))
+            return let(moments, lambda m: pair(m, tagged | scalar & (F.size(m) > 0)))
         if kind == "link":
             path = F.when(tagged, F.get_json_object(t["value"], "$.path")).when(what == "text", F.regexp_extract(text, r"^\[\[([^\[\]|#]*)", 1))
             fits = tagged | (what == "text") & text.rlike(r"^\[\[[^\[\]]+\]\]$")
@@ -97,7 +99,7 @@ def winners(rows: DataFrame, *, entity: str, attribute: str, order: list[Column]
     return rows.groupBy(entity, attribute).agg(first).select(entity, attribute, F.col("w.value").alias("value"), *(F.col(f"w.{c}").alias(c) for c in carry))
 
 
-def wide_table(cells: DataFrame, columns: dict[str, str], *, entity: str, attribute: str = "attribute", zone: str = "zone") -> DataFrame:
+def wide_table(cells: DataFrame, columns: dict[str, str], *, entity: str, attribute: str = "attribute", zone: str = "zone", source: str | None = None) -> DataFrame:
     """One row per entity: ``entity``, a typed column per attribute of ``columns`` and ``misfits``.
 
     ``cells`` has at most one row per entity and attribute, with the JSON literal ``value`` and the
@@ -107,28 +109,40 @@ def wide_table(cells: DataFrame, columns: dict[str, str], *, entity: str, attrib
     entity; rows without an entity are left out; an empty table gives no rows. Column names are the
     attributes as given, so they may clash with nothing but ``entity`` and ``misfits``, which is an error.
 
-    The cells are stored partitioned by attribute. Each attribute then is a narrow table that reads its
-    own partition, is typed, and is shuffled once by entity. All outer joins work on that partitioning: every group
+    A date that can be read in several ways is read as its ``source`` (a column; without it all cells are of one) mostly
+    writes dates, as ``normalise_instants`` does; where no reading is likely the column is null, but no misfit.
+
+    The cells are typed and stored partitioned by attribute. Each attribute then is a narrow table that reads its
+    own partition and is shuffled once by entity. All outer joins work on that partitioning: every group
     starts from the list of entities, and groups are joined pairwise in a balanced tree.
     """
     if len(columns) > MAX_COLUMNS or {entity, "misfits"} & set(columns):
         raise ValueError(f"at most {MAX_COLUMNS} attributes, none of them named {entity} or misfits")
     spark = cells.sparkSession
-    regions = region_map(spark)
-    cell = cells.where(F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), F.col(attribute).alias("_a"), parsed(F.col("value")).alias("p"), F.col(zone).alias("zone"))
+    regions, kinds = region_map(spark), sorted(set(columns.values()))
+    by_kind = {k: [a for a, b in columns.items() if b == k] for k in kinds}
+    home = F.lit("") if source is None else F.coalesce(F.col(source).cast("string"), F.lit(""))
+    cell = cells.where(F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), F.col(attribute).alias("_a"), parsed(F.col("value")).alias("p"), F.col(zone).alias("zone"), home.alias("source"))
     kept = cell.withColumn("_a", F.when(F.col("_a").isin(*columns) & F.col("p").isNotNull(), F.col("_a")))
-    stored = shelve(kept, "cells", partition_by="_a")
+    each = [F.when(F.col("_a").isin(*by_kind[k]), typed(F.col("p"), k, F.col("zone"), regions)).alias(f"_t{at}") for at, k in enumerate(kinds)]
+    stored = shelve(kept.select("_e", "_a", "source", *each), "cells", partition_by="_a")
     spine = stored.select("_e").distinct()
+    held = lambda kind: F.col(f"_t{kinds.index(kind)}")
+    dates = settle(stored.where(F.col("_a").isin(*by_kind["date"])).select("_e", "_a", "source", held("date")["v"].alias("readings"), held("date")["fits"].alias("fits"))) if "date" in kinds else None
 
     def narrow(i: int, name: str, kind: str) -> DataFrame:
-        own = stored.where(F.col("_a") == name).select("_e", typed(F.col("p"), kind, F.col("zone"), regions).alias("t"))
-        return own.select("_e", F.col("t.v").alias(f"_v{i}"), F.when(~F.coalesce("t.fits", F.lit(False)), F.lit(name)).alias(f"_m{i}"))
+        if kind == "date":
+            own = dates.where(F.col("_a") == name).select("_e", F.timestamp_millis("epoch_ms").alias("v"), "fits")
+        else:
+            own = stored.where(F.col("_a") == name).select("_e", held(kind)["v"].alias("v"), held(kind)["fits"].alias("fits"))
+        return own.select("_e", F.col("v").alias(f"_v{i}"), F.when(~F.coalesce("fits", F.lit(False)), F.lit(name)).alias(f"_m{i}"))
 
     tree = []
     names = list(columns.items())
-    for at in range(0, len(names), 2):
+    size = max(2, isqrt(len(names)))
+    for at in range(0, len(names), size):
         group = spine
-        for i, (name, kind) in list(enumerate(names))[at : at + 2]:
+        for i, (name, kind) in list(enumerate(names))[at : at + size]:
             group = group.join(narrow(i, name, kind), "_e", "left")
         tree.append(group)
     while len(tree) > 1:

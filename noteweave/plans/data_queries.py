@@ -16,7 +16,7 @@ from noteweave.sources import vault_tables as V
 
 def p1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page with a typed column per declared field."""
-    return wide_table(V.field_cells(spark, sf_dir), V.declared_types(spark, sf_dir), entity="page_path")
+    return wide_table(V.field_cells(spark, sf_dir), V.declared_types(spark, sf_dir), entity="page_path", source="vault")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

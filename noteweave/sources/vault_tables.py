@@ -60,9 +60,10 @@ def field_key(c: Column) -> Column:
 
 
 def declared_types(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """The declared fields and their types: a table of fixed size, read by the driver."""
-    rows = table(spark, sf_dir, "field_types").select(field_key(F.col("field_key")), "field_type").limit(MAX_COLUMNS + 1).collect()
-    return {k: t for k, t in sorted(rows)}
+    """The declared fields and their types: a table of fixed size, read by the driver. Repeated keys count once, by the
+    type that is least by name; more than MAX_COLUMNS keys are an error of ``wide_table``."""
+    keys = table(spark, sf_dir, "field_types").where("field_key is not null").groupBy(field_key(F.col("field_key")).alias("k")).agg(F.coalesce(F.min("field_type"), F.lit("text")).alias("t"))
+    return {r["k"]: r["t"] for r in sorted(keys.limit(MAX_COLUMNS + 1).collect())}
 
 
 def zoned_fields(spark: SparkSession, sf_dir: str, *, undeclared: bool = False) -> DataFrame:
@@ -75,7 +76,7 @@ def zoned_fields(spark: SparkSession, sf_dir: str, *, undeclared: bool = False)
 
 
 def field_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_path, attribute, value, zone: the row that wins each cell of the wide table.
+    """page_path, attribute, value, zone, vault: the row that wins each cell of the wide table.
 
     The highest revision wins, then frontmatter, then the smallest line, then the smallest field_id.
     All fields of undeclared keys of a page are one cell without attribute and value, which keeps the page.
@@ -83,7 +84,7 @@ def field_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = F.col("field_type").isNotNull()
     rows = zoned_fields(spark, sf_dir, undeclared=True).withColumns({"attribute": F.when(declared, F.col("field_key")), "entry_value": F.when(declared, F.col("entry_value"))})
     order = [-F.coalesce("revision", F.lit(-(2**62))), F.when(F.col("origin") == "frontmatter", 0).otherwise(1), F.coalesce("line_no", F.lit(2**31 - 1)), F.col("field_id")]
-    return winners(rows, entity="page_path", attribute="attribute", order=order, value=F.col("entry_value"), carry=["zone"])
+    return winners(rows, entity="page_path", attribute="attribute", order=order, value=F.col("entry_value"), carry=["zone", "vault"])
 
 
 def latest_rows(df: DataFrame, key: str, keep: list[str]) -> DataFrame:

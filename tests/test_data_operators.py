@@ -195,6 +195,23 @@ def test_wide_table(spark):
         wide_table(df, {"misfits": "text"}, entity="e")
 
 
+def test_wide_dates_follow_the_habit_of_their_source(spark):
+    texts = {"us": ["12/25/2023", "01/31/2024", "02/28/2024", "03/04/2024"], "eu": ["25/12/2023", "31.01.2024", "28/02/2024", "03/04/2024"], "none": ["03/04/2024"]}
+    data = [(f"{s}{i}", "d", f'"{t}"', "UTC", s) for s, ts in texts.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(data, "e string, attribute string, value string, zone string, vault string")
+    got = {r["e"]: (r["d"] and r["d"].strftime("%m-%d"), r["misfits"]) for r in wide_table(df, {"d": "date"}, entity="e", source="vault").collect()}
+    assert got["us3"] == ("03-04", []) and got["eu3"] == ("04-03", []) and got["none0"] == (None, [])
+    raw = spark.createDataFrame([(e, s, v.strip('"'), z) for e, _, v, z, s in data], "id string, source string, raw string, zone string")
+    same = {r["id"]: r["epoch_ms"] for r in normalise_instants(raw, key="id", source="source", raw="raw", zone="zone").collect()}
+    wide = {r["e"]: r["ms"] for r in wide_table(df, {"d": "date"}, entity="e", source="vault").select("e", F.unix_millis("d").alias("ms")).collect()}
+    assert wide == same
+
+
+def test_declared_types_fold_repeats(spark, tmp_path):
+    spark.createDataFrame([(" A ", "number"), ("a", "number"), ("b", None), (None, "text")] + [("a", "number")] * 3000, "field_key string, field_type string").write.parquet(f"{tmp_path}/field_types.parquet")
+    assert V.declared_types(spark, str(tmp_path)) == {"a": "number", "b": "text"}
+
+
 def test_wide_table_equals_pivot_for_any_number_of_columns(spark):
     df = spark.range(200).selectExpr("concat('e', id % 17) e", "concat('a', id % 13) attribute", "cast(id as string) value", "'UTC' zone").dropDuplicates(["e", "attribute"])
     for n in (0, 1, 2, 5, 13):
