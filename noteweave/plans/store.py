@@ -41,7 +41,9 @@ class ObjectStore:
     of path, type, subpath and, where links may be relative, the folder they are read from; rows that lead nowhere
     fall away. Without it a link's path is the ``link_key``.
 
-    ``ancestors`` and ``descendants`` (ids to ids) may walk the tree; without them it is searched in ``closure()``.
+    Faster ways, where a store has them: ``ancestors`` and ``descendants`` give the objects above and below those of
+    a source (id, typename), with them if ``inclusive``, instead of ``closure()``; ``by_id`` is the filter of one id;
+    ``link_keys`` gives the dst_key of ids; ``linked_types`` are all types that have links or are their targets.
     """
 
     objects: DataFrame
@@ -51,8 +53,11 @@ class ObjectStore:
     resolved: Callable[[], DataFrame] | None = None
     json_fields: str | None = None
     resolve: Callable[[DataFrame], DataFrame] | None = None
-    ancestors: Callable[[DataFrame], DataFrame] | None = None
-    descendants: Callable[[DataFrame], DataFrame] | None = None
+    ancestors: Callable[[DataFrame, bool], DataFrame] | None = None
+    descendants: Callable[[DataFrame, bool], DataFrame] | None = None
+    by_id: Callable[[str], Column] | None = None
+    link_keys: Callable[[DataFrame], DataFrame] | None = None
+    linked_types: frozenset[str] | None = None
 
     def field(self, name: str) -> Field | None:
         return self.fields.get(name) or self.fields.get(name.lower() if not name.startswith("$") else name)
@@ -108,7 +113,7 @@ class ObjectStore:
         either and ``.md``, or by a file name that only one file has. None if there is none."""
         o = self.objects
         if "file" not in o.columns or self.resolve is None:
-            hit = o.where(F.col("link_key") == link.path).select("id").take(1)
+            hit = o.where(self.by_id(link.path) if self.by_id else F.col("link_key") == link.path).select("id").take(1)
         else:
             spark = o.sparkSession
             one = spark.createDataFrame([(link.path, link.type, link.subpath, folder)], "path string, type string, subpath string, folder string")
@@ -117,7 +122,7 @@ class ObjectStore:
 
     def load(self, object_id: str, names: set[str] | None = None) -> dict[str, Any] | None:
         """The fields of one object as Python values."""
-        rows = self.objects.where(F.col("id") == object_id).select(self.as_json(names).alias("m")).take(1)
+        rows = self.objects.where(self.by_id(object_id) if self.by_id else F.col("id") == object_id).select(self.as_json(names).alias("m")).take(1)
         return {k: loads(v) for k, v in rows[0]["m"].items()} if rows else None
 
 
@@ -165,16 +170,26 @@ class Planner:
         q = A.simplify(parse_query(query) if isinstance(query, str) else query)
         return self._select(self.store.objects, q)
 
-    def ids(self, q: A.Query) -> DataFrame:
+    def _walk(self, q: A.Tree) -> Callable[[DataFrame, bool], DataFrame] | None:
+        return self.store.descendants if q.down else self.store.ancestors
+
+    def _source(self, q: A.Query) -> DataFrame:
+        """id and typename of what ``q`` finds."""
         inner = Planner(self.store, self.this, folder=self.folder, strict=self.strict)
         inner._targets = self._targets
-        return inner._select(self.store.objects, q).select("id")
+        return inner._select(self.store.objects, q).select("id", "typename")
+
+    def ids(self, q: A.Query) -> DataFrame:
+        return self._source(q).select("id")
 
     # queries
 
     def _select(self, df: DataFrame, q: A.Query) -> DataFrame:
         columns = df.columns
         parts = list(q.items) if isinstance(q, A.And) else [q]
+        walked = next((p for p in parts if isinstance(p, A.Tree) and self._walk(p)), None)
+        if walked is not None:  # the tree step gives the objects themselves
+            df, parts = self._walk(walked)(self._source(walked.source), walked.inclusive), [p for p in parts if p is not walked]
         local = [p for p in parts if self._is_local(p)]
         joined = []
         for p in local:
@@ -186,9 +201,16 @@ class Planner:
                 df = self._where(df, predicate)
         for predicate, self._parent, self._rows in joined:
             df = self._where(df, predicate).select(*columns)
-        for i, p in enumerate(x for x in parts if x not in local):
+        return self._sets(df, [p for p in parts if p not in local])
+
+    def _sets(self, df: DataFrame, parts: list[A.Query]) -> DataFrame:
+        """The rows of ``df`` that are in all sets that tree and link steps find."""
+        columns = df.columns
+        for i, p in enumerate(parts):
             # a whole conjunct needs no flag: a semi or anti join takes the rows or leaves them
             if isinstance(p, (A.Tree, A.Linked, A.ByLink)):
+                if isinstance(p, A.Linked) and self.store.linked_types and not p.inclusive:
+                    df = df.where(F.col("typename").isin(*sorted(self.store.linked_types)))
                 df = df.join(self._found(p), "id", "left_semi")
             elif isinstance(p, A.NotQ) and isinstance(p.item, (A.Tree, A.Linked, A.ByLink)):
                 df = df.join(self._found(p.item), "id", "left_anti")
@@ -278,7 +300,7 @@ class Planner:
         if isinstance(q, A.Const):
             return F.lit(q.value)
         if isinstance(q, A.ById):
-            return F.col("id") == q.id
+            return s.by_id(q.id) if s.by_id else F.col("id") == q.id
         if isinstance(q, A.ByType):
             return F.array_contains("types", q.name)
         if isinstance(q, A.ByTag):
@@ -411,7 +433,9 @@ class Planner:
         s = self.store
         if isinstance(q, A.ByLink):
             return self._link_target(q.link)
-        source = self.ids(q.source) if not isinstance(q.source, A.ByLink) else self._link_target(q.source.link)
+        if isinstance(q, A.Tree) and self._walk(q):
+            return self._walk(q)(self._source(q.source), q.inclusive).select("id")
+        source = self.ids(q.source)
         if isinstance(q, A.Tree):
             pairs = s.closure() if s.closure else s.objects.where("false").select("id", F.col("id").alias("ancestor"))
             if q.down:
@@ -441,7 +465,7 @@ class Planner:
     def _step(self, ids: DataFrame, direction: str) -> DataFrame:
         s, found = self.store, []
         if direction in ("incoming", "both"):
-            keys = s.objects.join(ids, "id", "left_semi").where(F.col("link_key").isNotNull()).select(F.col("link_key").alias("dst_key"))
+            keys = s.link_keys(ids) if s.link_keys else s.objects.join(ids, "id", "left_semi").where(F.col("link_key").isNotNull()).select(F.col("link_key").alias("dst_key"))
             found.append(s.links.join(keys, "dst_key", "left_semi").select(F.col("src_id").alias("id")))
         if direction in ("outgoing", "both"):
             pairs = s.resolved() if s.resolved else s.links.join(s.objects.select(F.col("id").alias("dst_id"), F.col("link_key").alias("dst_key")), "dst_key").select("src_id", "dst_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,32 +51,89 @@ def relational_store(spark: SparkSession, sf_dir: str) -> ObjectStore:
     """All tables as one store. A query that names a type reads that table only: the other branches of the
     union have another constant there, which Catalyst folds away."""
     frames = {name: table(spark, sf_dir, name) for name in TABLES}
-    objects, fields = None, {}
+    parts = {name: _as_objects(df, name) for name, df in frames.items()}
+    objects, fields = _together(parts.values()), {}
     for name, df in frames.items():
-        part = _as_objects(df, name)
-        objects = part if objects is None else objects.unionByName(part, allowMissingColumns=True)
         fields |= {c: Field(c, frozenset([name])) for c in df.columns}
     fields |= {"$id": Field("id", frozenset(TABLES)), "$typename": Field("typename", frozenset(TABLES)), "$tags": Field("tags", frozenset(TABLES)), "$path": Field("file", frozenset(TABLES))}
     item = frames["lineitem"]
     own = object_id("lineitem", *TABLES["lineitem"][0]).alias("src_id")
     links = item.select(own, F.explode(F.array(object_id("part", "l_partkey"), object_id("supplier", "l_suppkey"))).alias("dst_key"))
-    return ObjectStore(objects, fields, closure=lambda: _closure(frames), links=links, resolved=lambda: links.withColumnRenamed("dst_key", "dst_id"))
+    return ObjectStore(
+        objects, fields, links=links, resolved=lambda: links.withColumnRenamed("dst_key", "dst_id"), by_id=_by_id, link_keys=lambda ids: ids.select(F.col("id").alias("dst_key")),
+        linked_types=frozenset(["lineitem", "part", "supplier"]),
+        descendants=lambda source, inclusive: _descendants(parts, source, inclusive).select(*objects.columns), ancestors=lambda source, inclusive: _ancestors(parts, source, inclusive).select(*objects.columns),
+    )
+
+
+def _together(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _by_id(object_id: str) -> Column:
+    """The object of an id, as a filter that leaves only its table to be read."""
+    name, _, key = object_id.partition("/")
+    here = (F.col("typename") == name) & (F.col("id") == object_id)
+    if name in TABLES and len(TABLES[name][0]) == 1 and key.isdigit():
+        here = here & (F.col(TABLES[name][0][0]) == int(key))
+    return here
+
+
+def _keys(source: DataFrame, name: str) -> DataFrame:
+    """The keys (k) of the objects of one table among ``source``: all of a text id's parts."""
+    return source.where(F.col("typename") == name).select(F.split("id", "/").alias("k"))
+
+
+def _first(source: DataFrame, name: str) -> DataFrame:
+    return _keys(source, name).select(F.get("k", F.lit(1)).cast("bigint").alias("k"))
+
+
+def _within(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    return rows.join(keys, F.col(column) == F.col("k"), "left_semi")
+
+
+def _descendants(parts: dict[str, DataFrame], source: DataFrame, inclusive: bool) -> DataFrame:
+    """The rows below those of ``source`` (id, typename): one foreign key per level, from the top down."""
+    out, below = {}, {}
+    for name, (keys, parent, foreign) in TABLES.items():  # parents stand before their children
+        here = _first(source, name) if len(keys) == 1 else None
+        rows = _within(parts[name], foreign, below[parent]) if parent else None
+        if inclusive:
+            mine = here.distinct() if here is not None else source.where(F.col("typename") == name).select(F.col("id").alias("k")).distinct()
+            column = keys[0] if here is not None else "id"
+            if rows is None:
+                rows = _within(parts[name], column, mine)
+            else:
+                up = below[parent].select(F.col("k").alias("_up")).distinct()
+                flagged = parts[name].join(mine, F.col(column) == F.col("k"), "left").join(up, F.col(foreign) == F.col("_up"), "left")
+                rows = flagged.where("k is not null or _up is not null").drop("k", "_up")
+        if rows is not None:
+            out[name] = rows
+        if here is not None:
+            found = rows.select(F.col(keys[0]).cast("bigint").alias("k")) if rows is not None else None
+            below[name] = here if found is None else found if inclusive else found.unionByName(here)
+    return _together([out.get(name, part.where("false")) for name, part in parts.items()])
 
 
-def _closure(frames: dict[str, DataFrame]) -> DataFrame:
-    """(id, ancestor): for each table its own foreign key, then that of its parent, and so on up."""
-    out = None
-    for name in TABLES:
+def _ancestors(parts: dict[str, DataFrame], source: DataFrame, inclusive: bool) -> DataFrame:
+    """The rows above those of ``source`` (id, typename): one foreign key per level, from the bottom up."""
+    up: dict[str, DataFrame] = {}
+    out: dict[str, DataFrame] = {}
+    for name in reversed(TABLES):
         keys, parent, foreign = TABLES[name]
+        if name in up:
+            above = up[name].distinct()
+            wanted = above.unionByName(_first(source, name)).distinct() if inclusive else above
+            out[name] = _within(parts[name], keys[0], wanted)
+        elif inclusive:
+            out[name] = parts[name].join(source.where(F.col("typename") == name).select("id"), "id", "left_semi")
         if parent is None:
             continue
-        at = frames[name].select(object_id(name, *keys).alias("id"), F.col(foreign).alias("_up"))
-        while parent is not None:
-            pairs = at.select("id", object_id(parent, "_up").alias("ancestor"))
-            out = pairs if out is None else out.unionByName(pairs)
-            p_keys, grand, p_foreign = TABLES[parent]
-            if grand is None:
-                break
-            up = frames[parent].select(F.col(p_keys[0]).alias("_up"), F.col(p_foreign).alias("_next"))
-            at, parent = at.join(up, "_up").select("id", F.col("_next").alias("_up")), grand
-    return out
+        if foreign in keys:  # the id tells it
+            more = _keys(source, name).select(F.get("k", F.lit(keys.index(foreign) + 1)).cast("bigint").alias("k"))
+        else:
+            starts = _first(source, name)
+            found = _within(parts[name], keys[0], starts.unionByName(up[name]) if name in up else starts)
+            more = found.select(F.col(foreign).cast("bigint").alias("k"))
+        up[parent] = up[parent].unionByName(more.distinct()) if parent in up else more.distinct()
+    return _together([out.get(name, part.where("false")) for name, part in parts.items()])

@@ -418,6 +418,15 @@ def vault_store(objects: DataFrame) -> ObjectStore:
     back = resolved().join(o.select(F.col("id").alias("dst_id"), F.col("link_key").alias("dst_key")), "dst_id").select("src_id", "dst_key")
     all_links = o.where(F.array_contains("types", "links")).select(F.col("id").alias("src_id"), F.explode("links").alias("l"))
     exact = all_links.select("src_id", F.concat("l.path", F.when(F.col("l.type") == "header", F.concat(F.lit("#"), F.col("l.subpath"))).when(F.col("l.type") == "block", F.concat(F.lit("#^"), F.col("l.subpath"))).otherwise("")).alias("dst_key"))
-    return ObjectStore(
-        o, dict(INTRINSIC), closure=lambda: o.select("id", F.explode("ancestors").alias("ancestor")), links=exact.unionByName(back).distinct(), resolved=resolved, json_fields="fields", resolve=resolve
-    )
+
+    def below(source: DataFrame, inclusive: bool) -> DataFrame:
+        roots = source.select(F.col("id").alias("_root"))
+        path = F.concat(F.array("id"), "ancestors") if inclusive else F.col("ancestors")
+        found = o.select("id", F.explode(path).alias("_root")).join(roots, "_root", "left_semi").select("id").distinct()
+        return o.join(found, "id", "left_semi")
+
+    def above(source: DataFrame, inclusive: bool) -> DataFrame:
+        own = o.join(source.select("id"), "id", "left_semi")
+        return o.join(own.select(F.explode(F.concat(F.array("id"), "ancestors") if inclusive else F.col("ancestors")).alias("id")).distinct(), "id", "left_semi")
+
+    return ObjectStore(o, dict(INTRINSIC), links=exact.unionByName(back).distinct(), resolved=resolved, json_fields="fields", resolve=resolve, descendants=below, ancestors=above)
