@@ -121,13 +121,14 @@ class Engine:
         full = path.path if isinstance(path, Link) else path
         return next(iter(self.store.objects.where(F.col("id") == full).take(1)), None)
 
-    def expand(self, q: str | A.Query, max_depth: int = 12) -> DataFrame:
-        """What ``q`` finds with everything below it, down to ``max_depth`` levels: root, level and the object's
-        columns. An object below two of the found ones comes once for each. Needs a store with ``ancestors``."""
+    def expand(self, q: str | A.Query, max_depth: int | None = None) -> DataFrame:
+        """What ``q`` finds with everything below it, down to ``max_depth`` levels if one is given: root, level and the
+        object's columns. An object below two of the found ones comes once for each. Needs a store with ``ancestors``."""
         found = self.query(q)
-        below = self.store.objects.withColumn("_up", F.explode(F.arrays_zip(F.slice("ancestors", 1, max_depth).alias("id"), F.sequence(F.lit(1), F.greatest(F.least(F.size("ancestors"), F.lit(max_depth)), F.lit(1))).alias("at"))))
+        paths = F.col("ancestors") if max_depth is None else F.slice("ancestors", 1, max_depth)
+        below = self.store.objects.select("*", F.posexplode(paths).alias("_at", "root"))
         roots = found.select(F.col("id").alias("root"))
-        down = below.where(F.col("_up.id").isNotNull()).withColumns({"root": F.col("_up.id"), "level": F.col("_up.at")}).drop("_up").join(roots, "root", "left_semi")
+        down = below.withColumn("level", F.col("_at") + 1).drop("_at").join(roots, "root", "left_semi")
         return found.withColumns({"root": F.col("id"), "level": F.lit(0)}).unionByName(down)
 
     def array(self, data: DataFrame | list[Row], *order: str) -> DataArray:

@@ -33,11 +33,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a private one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a private local one on a
+    local master; on a cluster every executor would write to its own disk, so there it is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
         given = getattr(spark, "_noteweave_shared", None)
         if not given:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share on {master}")
             given = "file://" + tempfile.mkdtemp(prefix="noteweave-")
             spark._noteweave_shared = given
             atexit.register(_remove_local, given[len("file://"):])
@@ -50,6 +54,25 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder. What is written there goes when the application ends, or by ``release``."""
+    path = f"{shared_dir(spark)}/noteweave/{label}-{uuid.uuid4().hex}"
+    fs, at = file_system(spark, path)
+    fs.mkdirs(at)  # only what is there can be marked
+    fs.deleteOnExit(at)
+    spark.__dict__.setdefault("_noteweave_paths", []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that operators stored in the shared folder so far; results must have been written by then. Returns
+    how many paths there were."""
+    paths = spark.__dict__.pop("_noteweave_paths", [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
 def shelve(df: DataFrame, label: str, *, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
@@ -57,7 +80,7 @@ def shelve(df: DataFrame, label: str, *, partition_by: str | None = None) -> Dat
     pushdown. The data survive the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/noteweave/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -65,6 +88,48 @@ def shelve(df: DataFrame, label: str, *, partition_by: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+# small files on any file system that Spark reads
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
+def listing(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none where there is no folder."""
+    fs, at = file_system(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file at once: it is there in whole or not at all."""
+    fs, at = file_system(spark, path + ".tmp")
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    _, final = file_system(spark, path)
+    fs.delete(final, False)
+    fs.rename(at, final)
+
+
 def latest(df: DataFrame, key: str, payload: list[str], order: list[str]) -> DataFrame:
     """One row per ``key``: ``payload`` of the row that is greatest by ``order``.
 

@@ -6,16 +6,23 @@ that need positions count the rows ahead, or number rows range by range.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cmp_to_key
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteweave.common import shared_dir, shelve
+from noteweave.common import shared_path, shelve
 
 Row2Col = Callable[[Column], Column]
+Comparator = Callable[[Any, Any], int]
+
+#: The first so many rows are taken by a top-k of every task; others by their position.
+TOP = 10_000
+#: A comparator of one's own is asked about so many different keys at most; more are an error.
+MAX_COMPARED = 100_000
 
 
 def _sorts(order: tuple[tuple[str, bool], ...]) -> list[Column]:
@@ -75,7 +82,7 @@ class DataArray:
         that their ancestor at the last depth that is a power of two had: every cycle meets its own in time."""
         spark, columns = self.df.sparkSession, self.df.columns
         kinds = self.df.unionByName(children.select(*columns)).schema
-        path, depth = f"{shared_dir(spark)}/noteweave/levels-{uuid.uuid4().hex}", 0
+        path, depth = shared_path(spark, "levels"), 0
         id_type = children.schema[key].dataType
         level = self.df.withColumns({"_mark": F.lit(None).cast(id_type), "_again": F.lit(None).cast(id_type)})
         while True:
@@ -96,12 +103,17 @@ class DataArray:
 
     # order and position
 
-    def sort(self, key: Column | None = None, direction: str = "asc") -> DataArray:
-        """A stable sort: equal keys stay in their order, nulls are least."""
+    def sort(self, key: Column | None = None, direction: str = "asc", comparator: Comparator | None = None) -> DataArray:
+        """A stable sort: equal keys stay in their order, nulls are least. A ``comparator`` (negative, zero or positive for
+        two keys) orders the different keys on the driver, MAX_COMPARED of them at most; a key column that
+        Spark can order needs none and has no bound."""
         if key is None:
             return self
         name = f"_key{len(self.order)}"
-        return DataArray(self.df.withColumn(name, key), ((name, direction == "asc"), *self.order))
+        df = self.df.withColumn(name, key)
+        if comparator:
+            df = _placed(df, name, comparator)
+        return DataArray(df, ((name, direction == "asc"), *self.order))
 
     sort_in_place = sort
 
@@ -113,12 +125,19 @@ class DataArray:
         return self.slice(0, n)
 
     def slice(self, start: int = 0, end: int | None = None) -> DataArray:
-        """Rows from ``start`` up to ``end``; negative numbers count from the end."""
-        size = self.df.count() if start < 0 or end is not None and end < 0 else 0
+        """Rows from ``start`` up to ``end``; negative numbers count from the end. Up to TOP rows from the start are a
+        top-k; all else goes by positions, so that no task gets all rows."""
+        if start >= 0 and end is not None and 0 <= end <= TOP:
+            out = self.ordered().limit(end)
+            return replace(self, df=out.offset(start) if start else out)
+        if start == 0 and end is None:
+            return self
+        rows = self.indexed("_index")
+        size = rows.count() if start < 0 or end is not None and end < 0 else 0
         lo = max(size + start, 0) if start < 0 else start
         hi = None if end is None else max(size + end, 0) if end < 0 else end
-        out = self.ordered().offset(lo) if lo else self.ordered()
-        return replace(self, df=out if hi is None else out.limit(max(hi - lo, 0)))
+        kept = F.col("_index") >= lo if hi is None else (F.col("_index") >= lo) & (F.col("_index") < hi)
+        return replace(self, df=rows.where(kept).drop("_index"))
 
     def at(self, n: int) -> DataFrame:
         return self.slice(n, n + 1 if n != -1 else None).df
@@ -132,6 +151,13 @@ class DataArray:
     def page(self, number: int, size: int = 50) -> DataFrame:
         return self.slice(number * size, (number + 1) * size).df
 
+    def paged(self, number: int, size: int = 50) -> Page:
+        """A page with its number, brought into those there are, and how many rows and pages there are."""
+        total = self.length()
+        pages = -(-total // size)
+        number = min(max(number, 0), max(pages - 1, 0))
+        return Page(self.page(number, size), number, pages, total)
+
     def find(self, test: Column) -> DataFrame:
         return self.where(test).first()
 
@@ -169,11 +195,24 @@ class DataArray:
 
     # groups and sets
 
-    def group_by(self, **keys: Column) -> Groups:
-        return Groups(self.mutate(**keys), tuple(keys))
-
-    def distinct(self, *keys: str) -> DataArray:
-        """The first row of each key, in the order of the keys."""
+    def group_by(self, comparator: Comparator | None = None, **keys: Column) -> Groups:
+        """Groups by keys; by a ``comparator`` those keys are one group that it calls equal, under the first of them."""
+        rows = self.mutate(**keys)
+        if comparator:
+            for k in keys:
+                rows = replace(rows, df=_placed(rows.df, k, comparator, name_of=True))
+        return Groups(rows, tuple(keys))
+
+    def distinct(self, *keys: str, comparator: Comparator | None = None) -> DataArray:
+        """The first row of each key, in the order of the keys. Every task keeps one row of a key before rows move, so a hot
+        key is no load. A ``comparator`` tells which keys are equal, as in ``group_by``."""
+        if comparator:
+            names = {k: f"_same_{k}" for k in keys}
+            df = self.df.withColumns({n: F.col(k) for k, n in names.items()})
+            for n in names.values():
+                df = _placed(df, n, comparator)
+            out = replace(self, df=df).distinct(*names.values())
+            return out
         first = Window.partitionBy(*keys).orderBy(*_sorts(self.order))
         kept = self.df.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
         return DataArray(kept, (*((k, True) for k in keys), *self.order))
@@ -217,6 +256,33 @@ class DataArray:
         return F.array_join(F.transform(rows, lambda r: F.coalesce(r["_t"], F.lit("-"))), separator)
 
 
+def _placed(df: DataFrame, column: str, comparator: Comparator, *, name_of: bool = False) -> DataFrame:
+    """``df`` with the place of each key of ``column`` in the order of a comparator, equal keys on one place; or with
+    the first key of that place (``name_of``)."""
+    rows = df.select(column).distinct().limit(MAX_COMPARED + 1).collect()
+    if len(rows) > MAX_COMPARED:
+        raise ValueError(f"a comparator orders {MAX_COMPARED} different keys at most")
+    keys = sorted((r[0] for r in rows), key=cmp_to_key(comparator))
+    places, first = [], 0
+    for i, k in enumerate(keys):
+        first = first if i and comparator(keys[first], k) == 0 else i
+        places.append((k, first, keys[first]))
+    kind = df.schema[column].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(places, f"_held {kind}, _place int, _first {kind}")
+    out = df.join(F.broadcast(table), F.col(column).eqNullSafe(F.col("_held")))
+    return out.withColumn(column, F.col("_first" if name_of else "_place")).drop("_held", "_place", "_first")
+
+
+@dataclass(frozen=True)
+class Page:
+    """One page of rows."""
+
+    rows: DataFrame
+    number: int
+    pages: int
+    total: int
+
+
 @dataclass(frozen=True)
 class Groups:
     """Rows in groups, outer keys first. Groups stay rows of one DataFrame: no task holds a whole group."""

@@ -291,3 +291,34 @@ def test_subtree_down_to_the_line_items(spark):
     got = [r["id"] for r in O.QUERIES["q_subtree_all"](spark, SF).collect()]
     assert Counter(x.split("/")[0] for x in got) == {"customer": len(customers), "orders": len(orders), "lineitem": len(items)}
     assert {x for x in got if x.startswith("orders/")} == {f"orders/{k}" for k in orders} and {x.split("/")[1] for x in got if x.startswith("lineitem/")} == {str(r["l_orderkey"]) for r in items}
+
+
+def test_comparators_of_ones_own(spark):
+    words = ["bb", "A", "ccc", "a", "BB", None]
+    a = DataArray.of(spark.createDataFrame(list(enumerate(words)), "i int, w string"), "i")
+    size = lambda x, y: (len(x or "") > len(y or "")) - (len(x or "") < len(y or ""))
+    fold = lambda x, y: ((x or "").lower() > (y or "").lower()) - ((x or "").lower() < (y or "").lower())
+    assert [r["w"] for r in a.sort(F.col("w"), comparator=size).array()] == [None, "A", "a", "bb", "BB", "ccc"]
+    assert [r["w"] for r in a.sort(F.col("w"), "desc", comparator=size).array()] == ["ccc", "bb", "BB", "A", "a", None]
+    assert sorted(r["n"] for r in a.group_by(fold, w=F.col("w")).aggregate(n=F.count("*")).collect()) == [1, 1, 2, 2]
+    assert sorted(r["i"] for r in a.distinct("w", comparator=fold).df.collect()) == [0, 1, 2, 5]
+
+
+def test_pages_and_positions(spark, monkeypatch):
+    from noteweave.operators import arrays
+
+    a = DataArray.of(spark.range(23), "-id")
+    p = a.paged(9, 5)
+    assert (p.number, p.pages, p.total, [r["id"] for r in p.rows.collect()]) == (4, 5, 23, [2, 1, 0]) and a.paged(-1, 5).number == 0 and a.where(F.lit(False)).paged(3).pages == 0
+    for top in (10_000, 3):
+        monkeypatch.setattr(arrays, "TOP", top)
+        for lo, hi in ((0, 7), (4, 9), (20, None), (-5, None), (0, -20), (-4, -1), (9, 4), (0, None), (30, 40)):
+            assert [r["id"] for r in a.slice(lo, hi).array()] == list(range(22, -1, -1))[lo:hi]
+
+
+def test_no_step_by_position_moves_all_rows_to_one_task(spark):
+    a = DataArray.of(spark.range(100_000).withColumn("k", F.col("id") % 3), "id")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (a.slice(50).df, a.limit(-5).df, a.slice(20_000, 70_000).df):
+        assert "GlobalLimit" not in plan(df) and "SinglePartition" not in plan(df).split("range")[0]
+    assert "WindowGroupLimit" in plan(a.distinct("k").df)

@@ -133,11 +133,56 @@ def test_following_a_folder(spark, tmp_path):
     (source / "a.md").write_text("x:: 1\n")
     index = LiveIndex(spark, str(tmp_path / "index"))
     index.follow(str(source), str(tmp_path / "c"), once=True).awaitTermination()
+    index = LiveIndex(spark, str(tmp_path / "index"))  # opened again
     (source / "b.md").write_text("x:: 2\n")
     index.follow(str(source), str(tmp_path / "c"), once=True).awaitTermination()
     assert sorted(r["id"] for r in index.query("@page and x > 0").collect()) == ["a.md", "b.md"]
 
 
+def test_an_index_goes_on_where_it_ended(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    first = LiveIndex(spark, folder)
+    first.apply(files(spark, {"a.md": "x:: 1\n", "b.md": "x:: 2\n"}))
+    second = LiveIndex(spark, folder)
+    assert second.revision == 1 and sorted(r["id"] for r in second.query("@page and x > 0").collect()) == ["a.md", "b.md"]
+    assert second.apply(files(spark, {"c.md": "x:: 3\n"}), batch=("s", 0)) == 2
+    third = LiveIndex(spark, folder)
+    assert third.apply(files(spark, {"c.md": "x:: 9\n"}), batch=("s", 0)) == 2  # handed over again
+    assert sorted((r["id"], r["revision"]) for r in third.query("@page and x < 9").collect()) == [("a.md", 1), ("b.md", 1), ("c.md", 2)]
+    assert third.reindex(files(spark, {"d.md": "x:: 4\n"})) == 3 and [r["id"] for r in LiveIndex(spark, folder).query("@page").collect()] == ["d.md"]
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    import json as j
+
+    folder = tmp_path / "index"
+    index = LiveIndex(spark, str(folder), buckets=8)
+    index.apply(files(spark, {f"f{i}.md": f"n:: {i}\n" for i in range(60)}))
+    before = dict(index._places)
+    for day in (2, 3, 4):
+        index.apply(files(spark, {"f7.md": f"n:: {100 * day}\n"}, day), spark.createDataFrame([("none.md",)], "path string") if day == 3 else None)
+    changed = {b for b in before if index._places[b] != before[b]}
+    assert len(before) == 8 and 1 <= len(changed) <= 2
+    assert [r["id"] for r in index.query("@page and n > 59").collect()] == ["f7.md"] and index.query("@page").count() == 60
+    held = sorted(p.name for p in (folder / "data").iterdir())
+    assert "2" not in held and held[0] == "1" and len(list((folder / "manifests").glob("*.json"))) == 2
+    newest = sorted((folder / "manifests").glob("*.json"))[-1]
+    newest.write_text(j.dumps({**j.loads(newest.read_text()), "version": 1}))
+    (folder / "manifests" / f".{newest.name}.crc").unlink(missing_ok=True)
+    old = LiveIndex(spark, str(folder))
+    assert old.outdated and old.objects().isEmpty() and old.revision == 4
+
+
+def test_stored_data_are_released(spark):
+    from noteweave.common import release, shelve
+
+    release(spark)
+    shelved = shelve(spark.range(3), "any")
+    assert shelved.count() == 3 and release(spark) == 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(shelved.inputFiles()[0]).count()
+
+
 def test_interface(spark, objects):
     e = Engine(vault_store(objects))
     assert e.page(CHESS)["name"] == "Chess" and e.page("nowhere") is None
@@ -156,7 +201,10 @@ def test_expanding_children(spark, objects):
     e = Engine(vault_store(objects))
     levels = {r["id"]: r["level"] for r in e.expand('id("Games/Chess.md")', 3).collect()}
     assert levels[CHESS] == 0 and levels[RULES] == 1 and levels["Games/Chess.md/list12"] == 3 and "Games/Chess.md/list13" not in levels
-    assert {r["root"] for r in e.expand("@list-block").collect()} == {r["id"] for r in e.query("@list-block").collect()}
+    lists = {(r["root"], r["level"], r["id"]) for r in e.expand("@block-list").collect()}
+    assert {(root, id_) for root, level, id_ in lists if level == 0} == {(r["id"], r["id"]) for r in e.query("@block-list").collect()} and len(lists) == 2 + 5
+    assert ("Games/Chess.md/block3", 2, "Games/Chess.md/list13") in lists
+    assert {r["id"] for r in e.expand('id("Games/Chess.md")').collect()} == {r["id"] for r in e.query('subtree(id("Games/Chess.md"))').collect()}
 
 
 def test_functions_of_ones_own(objects):
