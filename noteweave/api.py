@@ -96,6 +96,7 @@ class Engine:
 
     def __init__(self, store: ObjectStore, source: str | None = None, *, strict: bool = False):
         self.store, self.source, self.strict = store, source, strict
+        self._planned: dict[A.Query, DataFrame] = {}
 
     # queries
 
@@ -108,7 +109,9 @@ class Engine:
     def full_query(self, q: str | A.Query) -> SearchResult:
         start = time.perf_counter()
         tree = A.simplify(parse_query(q) if isinstance(q, str) else q)
-        return SearchResult(tree, Planner(self.store, self._this(), folder=self._folder(), strict=self.strict).run(tree), time.perf_counter() - start)
+        if tree not in self._planned:  # equal queries share one plan
+            self._planned[tree] = Planner(self.store, self._this(), folder=self._folder(), strict=self.strict).run(tree)
+        return SearchResult(tree, self._planned[tree], time.perf_counter() - start)
 
     def try_full_query(self, q: str | A.Query) -> Result[SearchResult]:
         return Result.trying(lambda: self.full_query(q))

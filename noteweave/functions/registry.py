@@ -7,7 +7,8 @@ from collections.abc import Callable
 from types import ModuleType
 
 from noteweave.functions.columns import COLUMNS
-from noteweave.functions.interpreter import FUNCTIONS, OWN, VECTOR, add_own
+from noteweave.functions.interpreter import FUNCTIONS, OWN, VECTOR, EvaluationError, add_own
+from noteweave.functions.literals import type_of
 
 
 def register(name: str, value: Callable, *, column: Callable | None = None, over: dict[int, tuple[int, ...]] | None = None) -> None:
@@ -26,6 +27,45 @@ def unregister(name: str) -> None:
         table.pop(name.lower(), None)
 
 
+class Overloads:
+    """A function of several forms, told apart by the number and kinds of its arguments.
+
+    ``add`` takes the kinds (``type_of`` names, ``*`` for any) and the form; ``vararg`` one for any other arguments;
+    ``vectorize`` the positions that map over arrays for a number of arguments. A null where no form
+    takes one gives null; other arguments that no form takes are an error. ``build`` registers the function.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.forms, self.rest, self.over = name, [], None, {}
+
+    def add(self, *kinds: str, form: Callable) -> Overloads:
+        self.forms.append((kinds, form))
+        return self
+
+    def vararg(self, form: Callable) -> Overloads:
+        self.rest = form
+        return self
+
+    def vectorize(self, arguments: int, *positions: int) -> Overloads:
+        self.over[arguments] = positions
+        return self
+
+    def __call__(self, *args):
+        kinds = [type_of(a) for a in args]
+        for wanted, form in self.forms:
+            if len(wanted) == len(kinds) and all(w in ("*", k) for w, k in zip(wanted, kinds)):
+                return form(*args)
+        if self.rest:
+            return self.rest(*args)
+        if "null" in kinds and any(len(wanted) == len(kinds) for wanted, _ in self.forms):
+            return None
+        raise EvaluationError(f"no {self.name} of {', '.join(kinds) or 'nothing'}")
+
+    def build(self) -> Overloads:
+        register(self.name, self, over=self.over or None)
+        return self
+
+
 class Modules:
     """Python modules whose ``FUNCTIONS`` (name to callable) are registered once; a module may ``require`` others,
     but none that is still being loaded."""

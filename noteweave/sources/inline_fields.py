@@ -143,3 +143,35 @@ def replace_lines(text: str, start: int, end: int, new) -> str:
     """``text`` with lines ``start`` up to ``end`` rewritten by ``new``."""
     lines = text.split("\n")
     return "\n".join([*lines[:start], new("\n".join(lines[start:end])), *lines[end:]])
+
+
+def edit_field(text: str, key: str, value: str | None = None, *, line: int | None = None) -> str:
+    """The text of a file with a field set to ``value``, or without it where that is None, at the place it came from: in
+    ``line``, or else in the front matter, which is made if there is none."""
+    if line is not None:
+        return replace_lines(text, line, line + 1, lambda x: _edit_line(x, key, value))
+    lines = text.split("\n")
+    end = next((i for i in range(1, len(lines)) if lines[i].strip() == "---"), None) if lines[0].strip() == "---" else None
+    if end is None:
+        return text if value is None else f"---\n{key}: {value}\n---\n{text}"
+    kept, found, skip = [], False, False
+    for x in lines[1:end]:
+        named = re.match(r"^([^\s:#-][^:]*?)\s*:(?:\s|$)", x)
+        if named:
+            skip = named[1].strip("\"'").lower() == key.lower()
+            if skip and not found and value is not None:
+                kept.append(f"{named[1]}: {value}")
+            found = found or skip
+        if not skip:
+            kept.append(x)
+    if not found and value is not None:
+        kept.append(f"{key}: {value}")
+    return "\n".join([lines[0], *kept, *lines[end:]])
+
+
+def _edit_line(line: str, key: str, value: str | None) -> str:
+    whole = full_line(line) if not bracketed(line) else None
+    if whole and whole.key.lower() == key.lower():
+        return "" if value is None else line[: whole.value_start].rstrip() + f" {value}"
+    own = next((f.key for f in bracketed(line) if f.key.lower() == key.lower()), key)
+    return set_field(line, own, value)

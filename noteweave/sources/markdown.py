@@ -6,11 +6,13 @@ import json
 import re
 from collections.abc import Iterator
 from typing import Any
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteweave.common import file_system
 from noteweave.functions.literals import Link, dumps, normal_header
 from noteweave.plans.parser import parse_date, parse_duration
 from noteweave.plans.store import Field, ObjectStore
@@ -27,9 +29,10 @@ OBJECTS = (
     "id string, typename string, types array<string>, file string, folder string, parent_id string, ancestors array<string>, depth int, ordinal int, revision bigint, "
     f"path string, ctime timestamp, mtime timestamp, size bigint, extension string, name string, position {_SPAN}, line_count int, title string, level int, block_type string, block_id string, "
     f"languages array<string>, content_position {_SPAN}, style string, symbol string, text string, cleantext string, parent_line int, status string, completed boolean, url string, linked_file string, "
-    f"tags array<string>, link {_LINK_TYPE}, link_key string, links array<{_LINK_TYPE}>, fields map<string,string>"
+    f"tags array<string>, link {_LINK_TYPE}, link_key string, links array<{_LINK_TYPE}>, fields map<string,string>, raw map<string,string>"
 )
-#: Intrinsic fields: the name in queries, its column, and the types that have it.
+# Intrinsic fields with the name in queries, their column, and the types that have them; the types of
+# each kind of object.
 _EVERY = frozenset(["Page", "Section", "Block", "List Block", "Codeblock", "Datablock", "List Item", "Task", "File", "Canvas", "Text Card", "File Card", "Web Card"])
 _FILES = frozenset(["Page", "File", "Canvas"])
 _LINES = frozenset(["Page", "Section", "Block", "List Block", "Codeblock", "Datablock", "List Item", "Task"])
@@ -55,6 +58,10 @@ _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 _ITEM = re.compile(r"^(\s*)([-*+]|\d+[.)])(?:\s+(?:\[(.)\]\s+)?(.*))?$")
 _TAG = re.compile(r"(?<![\w/&#])#([^\s#,;.:!@$%^&*()+=\[\]{}<>?'\"`~|\\]*[^\W\d_][^\s#,;.:!@$%^&*()+=\[\]{}<>?'\"`~|\\]*)")
 _WIKI = re.compile(r"(!?)\[\[([^\[\]]+?)\]\]")
+_CODE_SPAN = re.compile(r"`[^`]*`")
+_MARKDOWN_LINK = re.compile(r"(!?)\[([^\[\]]*)\]\(\s*(?:<([^<>]*)>|([^\s()<>]*(?:\([^\s()]*\)[^\s()<>]*)*))(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)")
+_UNDERLINE = re.compile(r"^ {0,3}(=+|-+)\s*$")
+_NOT_PARAGRAPH = re.compile(r"^(?: {4}|\t|\s*(?:>|\||#{1,6}\s|(?:[-*+]|\d+[.)])(?:\s|$)|`{3,}|~{3,}))")
 _BLOCK_ID = re.compile(r"\s\^([\w-]+)\s*$")
 
 
@@ -105,8 +112,24 @@ def front_tags(v: Any) -> list[str]:
     return [t if t.startswith("#") else f"#{t}" for t in re.split(r"[,\s]+", str(v)) if t] if v is not None else []
 
 
-def _merge(into: dict[str, str], key: str, value: Any) -> None:
-    into.setdefault(key.lower(), dumps(value))
+def links_of_line(line: str) -> list[Link]:
+    """The links of a line in both notations, ``[[path]]`` and ``[text](path)``; addresses with a scheme are no links, nor is
+    what stands in code."""
+    line = _CODE_SPAN.sub(lambda m: " " * len(m[0]), line)
+    found = [(m.start(), Link.parse(m[2], bool(m[1]))) for m in _WIKI.finditer(line)]
+    for m in _MARKDOWN_LINK.finditer(line):
+        target = unquote(m[3] if m[3] is not None else m[4])
+        if target and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|//", target):
+            link = Link.parse(target.replace("|", "\\|"), bool(m[1]))
+            found.append((m.start(), link.with_(display=m[2] or None)))
+    return [x for _, x in sorted(found, key=lambda p: p[0])]
+
+
+def _merge(row: dict, key: str, value: Any, raw: str | None = None) -> None:
+    """A field of a row; the first of a key counts."""
+    if key.lower() not in row["fields"]:
+        row["fields"][key.lower()] = dumps(value)
+        row["raw"][key.lower()] = raw
 
 
 class _Page:
@@ -123,7 +146,7 @@ class _Page:
         link = {"path": self.file, "type": "block", "subpath": more["block_id"], "display": None, "embed": False} if more.get("block_id") else None
         r = {
             "id": id_, "typename": typename, "types": _TYPES[typename], "file": self.file, "folder": self.top["folder"], "parent_id": parent["id"], "ancestors": [parent["id"], *parent["ancestors"]], "depth": parent["depth"] + 1,
-            "position": {"start": start, "end": end}, "line_count": end - start, "tags": [], "links": [], "fields": {}, "link": link, **more,
+            "position": {"start": start, "end": end}, "line_count": end - start, "tags": [], "links": [], "fields": {}, "raw": {}, "link": link, **more,
         }
         self.rows.append(r)
         return r
@@ -131,21 +154,41 @@ class _Page:
     def run(self) -> list[dict]:
         start = self.front_matter()
         self.mark_code(start)
-        heads = [(i, m) for i in range(start, len(self.lines)) if not self.code[i] and (m := _HEADING.match(self.lines[i]))]
-        cuts = [(i, len(m[1]), m[2], k + 1) for k, (i, m) in enumerate(heads)]
+        heads = self.headings(start)
+        cuts = [(*h, k + 1) for k, h in enumerate(heads)]
         first = heads[0][0] if heads else len(self.lines)
         if any(x.strip() for x in self.lines[start:first]):
-            cuts.insert(0, (start, 1, self.top["name"] or "", 0))
+            cuts.insert(0, (start, start, 1, self.top["name"] or "", 0))
         self.block_count = 0
-        for k, (at, level, title, ordinal) in enumerate(cuts):
+        for k, (at, body, level, title, ordinal) in enumerate(cuts):
             end = cuts[k + 1][0] if k + 1 < len(cuts) else len(self.lines)
             tail = re.sub(r"[^A-Za-z0-9\-_]+", "-", title[:8])
             section = self.row("Section", f"{self.prefix}/section{ordinal}/{tail}", self.top, at, end, title=title, level=level, ordinal=ordinal, name=title)
             section["link"] = {"path": self.file, "type": "header", "subpath": normal_header(title), "display": None, "embed": False}
-            self.blocks(section, at + (ordinal > 0), end)
+            self.blocks(section, body, end)
         self.attribute(start)
         return self.rows
 
+    def headings(self, start: int) -> list[tuple[int, int, int, str]]:
+        """(first line, first line after it, level, title) of each heading: marked by ``#``, or a paragraph underlined by
+        ``=`` or ``-``."""
+        out, paragraph = [], None
+        for i in range(start, len(self.lines)):
+            line = self.lines[i]
+            if self.code[i] or not line.strip():
+                paragraph = None
+            elif m := _HEADING.match(line):
+                out.append((i, i + 1, len(m[1]), m[2]))
+                paragraph = None
+            elif paragraph is not None and paragraph >= 0 and (m := _UNDERLINE.match(line)):
+                out.append((paragraph, i + 1, 1 if m[1][0] == "=" else 2, " ".join(x.strip() for x in self.lines[paragraph:i])))
+                paragraph = None
+            elif paragraph is None:  # lines that go on a list or a quote are no paragraph of their own
+                paragraph = -1 if _NOT_PARAGRAPH.match(line) or _UNDERLINE.match(line) else i
+            elif paragraph >= 0 and _NOT_PARAGRAPH.match(line) and not re.match(r"^(?: {4}|\t)", line):
+                paragraph = -1
+        return out
+
     def front_matter(self) -> int:
         if self.lines and self.lines[0].strip() == "---":
             for i in range(1, len(self.lines)):
@@ -153,7 +196,7 @@ class _Page:
                     self.front = plain_yaml("\n".join(self.lines[1:i]))
                     for k, v in self.front.items():
                         value = yaml_value(v)
-                        _merge(self.top["fields"], str(k), value)
+                        _merge(self.top, str(k), value, v if isinstance(v, str) else json.dumps(v, default=str, ensure_ascii=False))
                         if str(k).lower() in ("tag", "tags"):
                             self.top["tags"] += front_tags(v)
                         self.top["links"] += _links_in(value)
@@ -189,7 +232,7 @@ class _Page:
                     data = plain_yaml("\n".join(self.lines[i + 1 : inner]))
                     b = self.row("Datablock", f"{self.prefix}/datablock{i}", section, i, stop, ordinal=self.block_count, block_type="datablock")
                     for k, v in data.items():
-                        _merge(b["fields"], str(k), yaml_value(v))
+                        _merge(b, str(k), yaml_value(v), v if isinstance(v, str) else json.dumps(v, default=str, ensure_ascii=False))
                         if str(k).lower() in ("tag", "tags"):
                             b["tags"] += front_tags(v)
                 else:
@@ -216,47 +259,59 @@ class _Page:
 
     def items(self, block: dict, start: int, end: int) -> None:
         open_items: list[tuple[int, dict]] = []
+        first = len(self.rows)
+
+        def close(indent: int) -> None:
+            while open_items and open_items[-1][0] >= indent:
+                _, done = open_items.pop()
+                if open_items:  # an item ends with what is in it
+                    above = open_items[-1][1]["position"]
+                    above["end"] = max(above["end"], done["position"]["end"])
+
         for i in range(start, end):
             m = _ITEM.match(self.lines[i])
             if not m:
                 for _, r in open_items[-1:]:
-                    r["text"] += "\n" + self.lines[i].strip()
+                    r["text"].append(self.lines[i].strip())
                     r["position"]["end"] = i + 1
                 continue
             indent = len(m[1].expandtabs(4))
-            while open_items and open_items[-1][0] >= indent:
-                open_items.pop()
+            close(indent)
             parent = open_items[-1][1] if open_items else block
             own = _BLOCK_ID.search(" " + (m[4] or ""))
             r = self.row(
-                "Task" if m[3] is not None else "List Item", f"{self.prefix}/list{i}", parent, i, i + 1, block_type="task" if m[3] is not None else "list", symbol=m[2], text=m[4] or "",
+                "Task" if m[3] is not None else "List Item", f"{self.prefix}/list{i}", parent, i, i + 1, block_type="task" if m[3] is not None else "list", symbol=m[2], text=[m[4] or ""],
                 parent_line=parent["position"]["start"] if open_items else -start, status=m[3], completed=m[3] in ("x", "X") if m[3] is not None else None, block_id=own[1] if own else None,
             )
             open_items.append((indent, r))
-            for _, up in open_items[:-1]:
-                up["position"]["end"] = max(up["position"]["end"], i + 1)
-        for r in self.rows:
-            if r["typename"] in _ITEMS:
-                r["line_count"] = r["position"]["end"] - r["position"]["start"]
+        close(-1)
+        for r in self.rows[first:]:
+            r["text"] = "\n".join(r["text"])
+            r["line_count"] = r["position"]["end"] - r["position"]["start"]
 
     def attribute(self, start: int) -> None:
         """Tags, links and inline fields to the page and to the section, block and items that hold their line."""
         spans = sorted((r for r in self.rows[1:]), key=lambda r: (r["position"]["start"], r["depth"]))
+        at, open_now = 0, []  # what holds the line: one of each depth at most
         for i in range(start, len(self.lines)):
-            if self.code[i]:
-                continue
+            open_now = [r for r in open_now if r["position"]["end"] > i]
+            while at < len(spans) and spans[at]["position"]["start"] <= i:
+                if spans[at]["position"]["end"] > i:
+                    open_now.append(spans[at])
+                at += 1
             line = self.lines[i]
-            holders = [self.top, *(r for r in spans if r["position"]["start"] <= i < r["position"]["end"])]
-            deepest = max(holders, key=lambda r: r["depth"])
-            holders = [r for r in holders if r is self.top or r["typename"] in ("Section", "Block", "List Block") or r is deepest]
-            tags = ["#" + m[1] for m in _TAG.finditer(re.sub(r"`[^`]*`|\[\[[^\]]*\]\]", " ", line))]
-            links = [_link_row(Link.parse(m[2], bool(m[1]))) for m in _WIKI.finditer(line)]
+            if self.code[i] or not line.strip():
+                continue
+            deepest = max([self.top, *open_now], key=lambda r: r["depth"])
+            holders = [self.top, *(r for r in open_now if r["typename"] in ("Section", "Block", "List Block") or r is deepest)]
+            tags = ["#" + m[1] for m in _TAG.finditer(re.sub(r"`[^`]*`|\[\[[^\]]*\]\]|\]\([^)]*\)", " ", line))]
+            links = [_link_row(x) for x in links_of_line(line)]
             found = fields_of_line(line, task=deepest["typename"] == "Task")
             for r in holders:
                 r["tags"] += tags
                 r["links"] += links
                 for f in found:
-                    _merge(r["fields"], f.key, f.value)
+                    _merge(r, f.key, f.value, f.raw)
 
 
 def _link_row(x: Link) -> dict:
@@ -274,7 +329,7 @@ def _file_row(typename: str, path: str, stats: dict) -> dict:
     stem, dot, ext = base.rpartition(".")
     return {
         "id": path, "typename": typename, "types": _TYPES[typename], "file": path, "folder": path.rpartition("/")[0], "parent_id": None, "ancestors": [], "depth": 0, "path": path, "extension": ext if dot else "", "name": stem if dot else base,
-        "tags": [], "links": [], "fields": {}, "link": _link_row(Link(path)), **stats,
+        "tags": [], "links": [], "fields": {}, "raw": {}, "link": _link_row(Link(path)), **stats,
     }
 
 
@@ -285,7 +340,7 @@ def _finish(rows: list[dict]) -> list[dict]:
         r["links"] = list({(x["path"], x["type"], x["subpath"]): x for x in reversed(r["links"])}.values())[::-1]
         link = r.get("link")
         r["link_key"] = link_text(link) if link else None
-        r["fields"] = list(r["fields"].items())
+        r["fields"], r["raw"] = list(r["fields"].items()), list(r["raw"].items())
         if r.get("text") is not None:
             r["cleantext"] = clean_text(r["text"])
     return rows
@@ -369,15 +424,31 @@ def parse_files(files: DataFrame, revision: int = 0) -> DataFrame:
 def read_vault(spark: SparkSession, folder: str, revision: int = 0) -> DataFrame:
     """The objects of all files below ``folder``. Content is read for markdown and canvas files only.
 
-    Spark's file sources pass over files of no bytes, so an empty file is no object here.
+    Spark's file sources pass over files of no bytes: those are taken from the listing, each asked for its time.
     """
     root = folder.rstrip("/").removeprefix("file:").lstrip("/") + "/"
     raw = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     relative = F.regexp_replace("path", r"^(?:\w+:)?/*\Q" + root + r"\E", "")
     common = [relative.alias("path"), F.col("modificationTime").alias("ctime"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")]
     text = raw().option("pathGlobFilter", "*.{md,markdown,canvas}").load(folder).select(*common, F.decode("content", "UTF-8").alias("content"))
-    other = raw().load(folder).where(~F.lower("path").rlike(r"\.(md|markdown|canvas)$")).select(*common, F.lit(None).cast("string").alias("content"))
-    return parse_files(text.unionByName(other), revision)
+    whole = raw().load(folder)
+    other = whole.where(~F.lower("path").rlike(r"\.(md|markdown|canvas)$")).select(*common, F.lit(None).cast("string").alias("content"))
+    return parse_files(text.unionByName(other).unionByName(_empty_files(spark, folder, root)), revision)
+
+
+def _empty_files(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """The files of no bytes below a folder: path, ctime, mtime, size, content. The driver walks the listing."""
+    import datetime as dt
+
+    fs, at = file_system(spark, folder)
+    rows, files = [], fs.listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")):
+            path = re.sub(r"^(?:\w+:)?/*" + re.escape(root), "", f.getPath().toString())
+            when = dt.datetime.fromtimestamp(f.getModificationTime() / 1000, dt.timezone.utc)
+            rows.append((path, when, when, 0, "" if re.search(r"\.(md|markdown|canvas)$", path.lower()) else None))
+    return spark.createDataFrame(rows, "path string, ctime timestamp, mtime timestamp, size bigint, content string")
 
 
 def resolve_links(objects: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from noteweave.functions.literals import Duration, Link
 from noteweave.plans import ast as A
 from noteweave.plans.store import Planner
 from noteweave.sources import inline_fields as I
-from noteweave.sources.markdown import front_tags, markdown_objects, objects_of, parse_files, read_vault, vault_store
+from noteweave.sources.markdown import front_tags, links_of_line as I_links, markdown_objects, objects_of, parse_files, read_vault, vault_store
 from noteweave.streaming.live import FILES, LiveIndex
 
 VAULT = {
@@ -106,8 +106,11 @@ def test_reading_a_folder(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(t or "any")
     (tmp_path / "odd + name.png").write_bytes(b"\xff")
+    (tmp_path / "Deep dir").mkdir()
+    for empty in ("empty.md", "Deep dir/none.txt", "Deep dir/none.canvas"):
+        (tmp_path / empty).touch()
     got = {r["id"] for r in read_vault(spark, str(tmp_path)).where("id = file").select("id").collect()}
-    assert got == {*VAULT, "odd + name.png"}
+    assert got == {*VAULT, "odd + name.png", "empty.md", "Deep dir/none.txt", "Deep dir/none.canvas"}
 
 
 def test_live(spark, tmp_path):
@@ -315,3 +318,57 @@ def test_fields_of_the_asking_file(linked):
     assert e.evaluate("this.author.rating") == "high" and e.local("Go.md").evaluate("this.born.year") == 2001
     assert [r["id"] for r in e.query("@page and rating = this.rating").collect()] == ["Sub/Ludo.md"]
     assert [r["id"] for r in e.query("[[Race]] and @page").collect()] == ["Sub/Ludo.md"] and e.resolve_path("Race") == "Sub/Race.md" and e.local("Go.md").resolve_path("Race") == "Race.md"
+
+
+def test_links_in_both_notations():
+    got = [(x.path, x.type, x.subpath, x.display, x.embed) for x in I_links("a [[X|y]] [t](Note%20one.md) ![p](img/a.png \"t\") [h](B.md#Some-part) [b](<C d.md#^id>) [w](https://x.invalid) [m](mailto:a@b) `[c](D.md)` [e]()")]
+    assert got == [("X", "file", None, "y", False), ("Note one.md", "file", None, "t", False), ("img/a.png", "file", None, "p", True), ("B.md", "header", "Some-part", "h", False), ("C d.md", "block", "id", "b", False)]
+
+
+def test_markdown_links_lead_back(spark):
+    store = vault_store(parse_files(files(spark, {"A/a.md": "see [the other](b.md) and [c](../x)", "A/b.md": "b", "b.md": "top"})))
+    assert sorted(r["id"] for r in Planner(store).run("linksto(id(\"A/b.md\")) and @page").collect()) == ["A/a.md"]
+
+
+def test_underlined_headings():
+    text = "Top\nline\n===\ntext\n\nSub\n---\n- item\n---\n\n---\n\n> quote\n---\n```\nno\n===\n```\n# Last\n"
+    got = [(r["title"], r["level"], r["position"]["start"], r["position"]["end"]) for r in markdown_objects("f.md", text) if r["typename"] == "Section"]
+    assert got == [("Top line", 1, 0, 5), ("Sub", 2, 5, 18), ("Last", 1, 18, 20)]
+
+
+def test_long_files_take_linear_time():
+    import time
+
+    def took(n):
+        text = "".join(f"{'  ' * (i % 5)}- item {i} #t{i % 7} [k{i % 9}:: {i}]\n" + ("\nword\n\n" if i % 50 == 0 else "") for i in range(n))
+        start = time.perf_counter()
+        assert len(markdown_objects("l.md", text)) > n
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(16_000) < 14 * took(2_000)
+
+
+def test_raw_texts_of_fields_and_edits_where_they_stand():
+    text = "---\nDue: 2024-01-02\ntags:\n  - a\n---\nx [k:: 1 h]\nWhole:: 5\n"
+    page = markdown_objects("f.md", text)[0]
+    assert dict(page["raw"]) == {"due": '"2024-01-02"', "tags": '["a"]', "k": "1 h", "whole": "5"} or dict(page["raw"])["due"] == "2024-01-02"
+    edit = I.edit_field
+    assert edit(text, "due", "2025-01-01").split("\n")[1] == "Due: 2025-01-01" and "  - a" not in edit(text, "tags", "[b]") and "tags: [b]" in edit(text, "tags", "[b]")
+    assert edit(text, "new", "1").split("\n")[4] == "new: 1" and edit("x", "a", "1") == "---\na: 1\n---\nx" and edit("x", "a") == "x" and "Due" not in edit(text, "DUE")
+    assert edit(text, "K", "2", line=5).split("\n")[5] == "x [k:: 2]" and edit(text, "whole", "6", line=6).split("\n")[6] == "Whole:: 6" and edit(text, "k", line=5).split("\n")[5] == "x"
+
+
+def test_overloads(objects):
+    from noteweave.functions.registry import Overloads, unregister
+
+    f = Overloads("size").add("string", form=lambda s: float(len(s))).add("number", "*", form=lambda n, _: n).vectorize(1, 0).build()
+    e = Engine(vault_store(objects))
+    assert e.evaluate('size("abc")') == 3 and e.evaluate('size(["a", "bb"])') == [1, 2] and e.evaluate("size(4, null)") == 4 and e.evaluate("size(null)") is None
+    assert not e.try_evaluate("size(true)").successful and f.vararg(lambda *a: float(len(a)))(1, 2, 3) == 3
+    unregister("size")
+
+
+def test_equal_queries_share_a_plan(objects):
+    e = Engine(vault_store(objects))
+    assert e.query("@page and rating > 1") is e.query("(@page) and rating>1") and e.query("@page") is not e.query("@task")
