@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.common import table
+from noteweave.common import file_system, table
 from noteweave.plans.store import Field, ObjectStore
 
 #: Each table with the columns of its key and its parent's table and key.
@@ -25,33 +25,48 @@ TABLES = {
 
 
 def object_id(name: str, *keys: str) -> Column:
-    return F.concat_ws("/", F.lit(name), *(F.col(k).cast("bigint").cast("string") for k in keys))
+    return F.expr(_id(name, *keys))
 
 
-def _tags(name: str) -> Column:
+def _id(name: str, *keys: str) -> str:
+    return f"concat_ws('/', '{name}', {', '.join(f'CAST(CAST({k} AS BIGINT) AS STRING)' for k in keys)})"
+
+
+def _tags(name: str) -> str:
     if name == "part":
-        brand, kind = (F.regexp_replace(c, r"[^A-Za-z0-9]+", "-") for c in ("p_brand", "p_type"))
-        return F.array(F.concat_ws("/", F.lit("#part"), brand, kind))
-    if name == "events":
-        return F.array(F.concat_ws("/", F.lit("#event"), F.col("event_type")))
-    return F.array().cast("array<string>")
+        brand, kind = (f"regexp_replace({c}, '[^A-Za-z0-9]+', '-')" for c in ("p_brand", "p_type"))
+        return f"array(concat_ws('/', '#part', {brand}, {kind}))"
+    return "array(concat_ws('/', '#event', event_type))" if name == "events" else "CAST(array() AS ARRAY<STRING>)"
 
 
-def _as_objects(df: DataFrame, name: str) -> DataFrame:
+def _as_objects(df: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
+    """A table's rows as objects, with all ``columns`` (name to type) of all tables."""
     keys, parent, foreign = TABLES[name]
-    own = object_id(name, *keys)
-    return df.select(
-        own.alias("id"), F.lit(name).alias("typename"), F.array(F.lit(name), F.lit("row")).alias("types"),
-        (object_id(parent, foreign) if parent else F.lit(None).cast("string")).alias("parent_id"),
-        F.concat(F.lit("tables/"), own).alias("file"), F.lit(f"tables/{name}").alias("folder"), own.alias("link_key"), _tags(name).alias("tags"), *df.columns,
+    own = _id(name, *keys)
+    return df.selectExpr(
+        f"{own} AS id", f"'{name}' AS typename", f"array('{name}', 'row') AS types", f"{_id(parent, foreign) if parent else 'CAST(NULL AS STRING)'} AS parent_id",
+        f"concat('tables/', {own}) AS file", f"'tables/{name}' AS folder", f"{own} AS link_key", f"{_tags(name)} AS tags", *(f"`{c}`" if c in df.columns else f"CAST(NULL AS {t}) AS `{c}`" for c, t in columns.items()),
     )
 
 
 def relational_store(spark: SparkSession, sf_dir: str) -> ObjectStore:
     """All tables as one store. A query that names a type reads that table only: the other branches of the
-    union have another constant there, which Catalyst folds away."""
+    union have another constant there, which Catalyst folds away. A session plans the store of unchanged files once."""
+    stamps = []
+    for name in TABLES:
+        fs, at = file_system(spark, f"{sf_dir}/{name}.parquet")
+        status = fs.getFileStatus(at)
+        stamps.append((status.getModificationTime(), status.getLen()))
+    held = spark.__dict__.setdefault("_noteweave_tables", {})
+    if sf_dir not in held or held[sf_dir][0] != stamps:
+        held[sf_dir] = (stamps, _store(spark, sf_dir))
+    return held[sf_dir][1]
+
+
+def _store(spark: SparkSession, sf_dir: str) -> ObjectStore:
     frames = {name: table(spark, sf_dir, name) for name in TABLES}
-    parts = {name: _as_objects(df, name) for name, df in frames.items()}
+    columns = {f.name: f.dataType.simpleString() for df in frames.values() for f in df.schema}
+    parts = {name: _as_objects(df, name, columns) for name, df in frames.items()}
     objects, fields = _together(parts.values()), {}
     for name, df in frames.items():
         fields |= {c: Field(c, frozenset([name])) for c in df.columns}
@@ -62,12 +77,12 @@ def relational_store(spark: SparkSession, sf_dir: str) -> ObjectStore:
     return ObjectStore(
         objects, fields, links=links, resolved=lambda: links.withColumnRenamed("dst_key", "dst_id"), by_id=_by_id, link_keys=lambda ids: ids.select(F.col("id").alias("dst_key")),
         linked_types=frozenset(["lineitem", "part", "supplier"]),
-        descendants=lambda source, inclusive: _descendants(parts, source, inclusive).select(*objects.columns), ancestors=lambda source, inclusive: _ancestors(parts, source, inclusive).select(*objects.columns),
+        descendants=lambda source, inclusive: _descendants(parts, source, inclusive), ancestors=lambda source, inclusive: _ancestors(parts, source, inclusive),
     )
 
 
 def _together(parts: Iterable[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return reduce(DataFrame.union, parts)
 
 
 def _by_id(object_id: str) -> Column:
@@ -112,7 +127,7 @@ def _descendants(parts: dict[str, DataFrame], source: DataFrame, inclusive: bool
         if here is not None:
             found = rows.select(F.col(keys[0]).cast("bigint").alias("k")) if rows is not None else None
             below[name] = here if found is None else found if inclusive else found.unionByName(here)
-    return _together([out.get(name, part.where("false")) for name, part in parts.items()])
+    return _together(out.values())
 
 
 def _ancestors(parts: dict[str, DataFrame], source: DataFrame, inclusive: bool) -> DataFrame:
@@ -136,4 +151,4 @@ def _ancestors(parts: dict[str, DataFrame], source: DataFrame, inclusive: bool)
             found = _within(parts[name], keys[0], starts.unionByName(up[name]) if name in up else starts)
             more = found.select(F.col(foreign).cast("bigint").alias("k"))
         up[parent] = up[parent].unionByName(more.distinct()) if parent in up else more.distinct()
-    return _together([out.get(name, part.where("false")) for name, part in parts.items()])
+    return _together(out.values())
