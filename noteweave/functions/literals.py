@@ -10,7 +10,9 @@ import datetime as dt
 import functools
 import json
 import math
+import re
 import unicodedata
+import zoneinfo
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -229,15 +231,38 @@ def from_json(v: Any) -> Any:
     if isinstance(v, dict):
         tag, inner = v.get("$_type"), v.get("value")
         if tag == "date":
-            return dt.datetime.fromisoformat(inner)
+            return _stored_date(inner)
         if tag == "duration":
-            return Duration(**inner)
+            return Duration(**inner) if isinstance(inner, dict) else _stored_duration(inner)
         if tag == "link":
             return Link(**inner)
         return {k: from_json(x) for k, x in v.items()}
     return float(v) if isinstance(v, int) and not isinstance(v, bool) else v
 
 
+def _stored_date(text: str) -> dt.datetime | None:
+    from noteweave.plans.parser import parse_date
+
+    m = re.fullmatch(r"(.*)\[([^\[\]]+)\]", text)
+    try:
+        if m:  # a region in brackets
+            return dt.datetime.fromisoformat(m[1]).replace(tzinfo=zoneinfo.ZoneInfo(m[2]))
+        return dt.datetime.fromisoformat(text)
+    except (ValueError, zoneinfo.ZoneInfoNotFoundError):
+        return parse_date(text)
+
+
+_ISO_SPAN = re.compile(r"P(?=[\dT])(?:([\d.]+)Y)?(?:([\d.]+)M)?(?:([\d.]+)W)?(?:([\d.]+)D)?(?:T(?:([\d.]+)H)?(?:([\d.]+)M)?(?:([\d.]+)S)?)?")
+
+
+def _stored_duration(text: str) -> Duration | None:
+    """A duration stored as text: in ISO 8601, or as amounts with their units."""
+    from noteweave.plans.parser import parse_duration
+
+    m = _ISO_SPAN.fullmatch(text)
+    return Duration(*(float(x or 0) for x in m.groups())) if m else parse_duration(text)
+
+
 def dumps(v: Any) -> str:
     return json.dumps(to_json(v), ensure_ascii=False)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noteweave.common import let
+from noteweave.functions.columns import call_column
 from noteweave.functions.literals import UNITS
 from noteweave.plans import expressions as E
 from noteweave.plans.expressions import Kind, NotStatic, Val
@@ -17,7 +18,7 @@ from noteweave.plans.expressions import Kind, NotStatic, Val
 _LINK = "struct<path:string,type:string,subpath:string,display:string,embed:boolean>"
 _SPAN = "struct<" + ",".join(f"{u}:double" for u in UNITS) + ">"
 #: A link as ``dumps`` writes it, wherever it stands in a JSON text; the group is what it holds.
-_WRITTEN_LINK = r'\{"\$_type": "link", "value": (\{(?:[^{}"]|"(?:[^"\\]|\\.)*+")*+\})\}'
+_WRITTEN_LINK = r'\{\s*"\$_type"\s*:\s*"link"\s*,\s*"value"\s*:\s*(\{(?:[^{}"]|"(?:[^"\\]|\\.)*+")*+\})\s*\}'
 
 
 def kind_name(c: Column) -> Column:
@@ -40,11 +41,16 @@ def as_kind(c: Column, kind: Kind) -> Val:
     elif kind.name == "boolean":
         out = F.when(c == "true", True).when(c == "false", False)
     elif kind.name == "date":
-        zoned = F.when(inner.rlike(r"([+-]\d{2}:?\d{2}|Z)$"), inner).otherwise(F.concat(inner, F.lit("Z")))
+        full = inner
+        for pattern, by in ((r"^(\d{4}-\d{2})$", "$1-01"), (r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00"), (r"^(.{10}T\d{2}:\d{2})(?!:)", "$1:00"), (r"\[([^\[\]]+)\]$", " $1"), (r"(:\d{2}(?:\.\d+)?)$", "$1Z")):
+            full = F.regexp_replace(full, pattern, by)  # a month, a day, no seconds, a region in brackets, no zone
+        zoned = F.when(full.rlike(r"[+-]\d{2}:\d{2}Z$"), F.regexp_replace(full, "Z$", "")).otherwise(full)
         out = F.when(kind_name(c) == "date", zoned.try_cast("timestamp"))
     elif kind.name == "duration":
         units = F.from_json(inner, _SPAN)
-        out = F.when(kind_name(c) == "duration", F.struct(*(F.coalesce(units[u], F.lit(0.0)).alias(u) for u in UNITS)))
+        held = F.struct(*(F.coalesce(units[u], F.lit(0.0)).alias(u) for u in UNITS))
+        iso = F.struct(*(F.coalesce(F.regexp_extract(inner, p + r"([\d.]+)" + u[0].upper(), 1).try_cast("double"), F.lit(0.0)).alias(u) for u, p in zip(UNITS, [*["^P[^T]*?"] * 4, *["T.*?"] * 3, "^$"])))
+        out = F.when(kind_name(c) == "duration", F.when(inner.startswith("{"), held).when(inner.startswith("P"), iso).otherwise(call_column("dur", [Val(inner, E.STRING)]).col))
     elif kind.name == "link":
         out = F.when(kind_name(c) == "link", F.from_json(inner, _LINK))
     else:

@@ -75,16 +75,20 @@ def zoned_fields(spark: SparkSession, sf_dir: str, *, undeclared: bool = False)
     return rows.join(types, "field_key", "left" if undeclared else "inner").join(zones, "vault", "left")
 
 
+def field_order() -> list[Column]:
+    """What of several fields of one page and key comes first: the highest revision, then frontmatter, then the smallest
+    line, then the smallest field_id."""
+    return [-F.coalesce("revision", F.lit(-(2**62))), F.when(F.col("origin") == "frontmatter", 0).otherwise(1), F.coalesce("line_no", F.lit(2**31 - 1)), F.col("field_id")]
+
+
 def field_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_path, attribute, value, zone, vault: the row that wins each cell of the wide table.
+    """page_path, attribute, value, zone, vault: the row that wins each cell of the wide table, see ``field_order``.
 
-    The highest revision wins, then frontmatter, then the smallest line, then the smallest field_id.
     All fields of undeclared keys of a page are one cell without attribute and value, which keeps the page.
     """
     declared = F.col("field_type").isNotNull()
     rows = zoned_fields(spark, sf_dir, undeclared=True).withColumns({"attribute": F.when(declared, F.col("field_key")), "entry_value": F.when(declared, F.col("entry_value"))})
-    order = [-F.coalesce("revision", F.lit(-(2**62))), F.when(F.col("origin") == "frontmatter", 0).otherwise(1), F.coalesce("line_no", F.lit(2**31 - 1)), F.col("field_id")]
-    return winners(rows, entity="page_path", attribute="attribute", order=order, value=F.col("entry_value"), carry=["zone", "vault"])
+    return winners(rows, entity="page_path", attribute="attribute", order=field_order(), value=F.col("entry_value"), carry=["zone", "vault"])
 
 
 def latest_rows(df: DataFrame, key: str, keep: list[str]) -> DataFrame:
