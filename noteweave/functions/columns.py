@@ -82,13 +82,18 @@ def _object(*a):
     return X.object_of([(k.const, v) for k, v in zip(a[::2], a[1::2])])
 
 
+def header_name(c: Column) -> Column:
+    """A header as links name it, see ``literals.normal_header``."""
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}\p{So}_-]+", " "))
+
+
 @column("link")
 def _link(target, display=None, embed=None):
     if target.name == "string":
         path, _, sub = target.col, None, F.regexp_extract(target.col, r"#\^?([^|]*)", 1)
         kind = F.when(target.col.contains("#^"), "block").when(target.col.contains("#"), "header").otherwise("file")
         alias = F.nullif(F.trim(F.regexp_extract(path, r"\|(.*)$", 1)), F.lit(""))
-        c = F.when(path.isNotNull(), F.struct(F.trim(F.regexp_extract(path, r"^([^#|]*)", 1)).alias("path"), kind.alias("type"), F.when(kind != "file", sub).alias("subpath"), alias.alias("display"), F.lit(False).alias("embed")))
+        c = F.when(path.isNotNull(), F.struct(F.trim(F.regexp_extract(path, r"^([^#|]*)", 1)).alias("path"), kind.alias("type"), F.when(kind == "block", sub).when(kind == "header", header_name(sub)).alias("subpath"), alias.alias("display"), F.lit(False).alias("embed")))
     else:
         _wants(target, "link")
         c = target.col

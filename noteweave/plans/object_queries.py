@@ -287,3 +287,52 @@ def _(spark, d):
     below = nations.groupBy("n_regionkey").agg(F.collect_list("k").alias("below"))
     regions = table(spark, d, "region").join(below, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("k"), F.lit("region").alias("level"), F.coalesce("below", F.array().cast("array<string>")).alias("below"))
     return DataArray.of(regions, "k").expand(nations.drop("n_regionkey"), key="k", child="below").df.groupBy("level").agg(F.count("*").alias("n"))
+
+
+# what the queries above show by constants only, by values of the rows
+_rows("op_round_digits", "lineitem", "l_orderkey", {"a": "round(l_extendedprice / l_quantity, 1)", "b": "round(l_extendedprice * 1.5, 0)"}, "CASE WHEN (l_extendedprice / l_quantity * 4) % 2 = 1 THEN floor(l_extendedprice / l_quantity * 10 + 0.5) / 10 ELSE printf('%.1f', l_extendedprice / l_quantity)::DOUBLE END AS a, floor(l_extendedprice * 1.5 + 0.5) AS b")
+_rows("op_compare_kinds", "orders", "o_orderkey", {"c": "choice(o_totalprice > 200000, 1, 9) < o_orderkey", "d": "default(choice(o_orderkey % 2, o_totalprice, null), 0) < 150000", "e": "choice(o_orderkey % 2, o_totalprice, null) != null"}, "CASE WHEN o_totalprice > 200000 THEN 1 ELSE 9 END < o_orderkey AS c, CASE WHEN o_orderkey % 2 <> 0 THEN o_totalprice ELSE 0 END < 150000 AS d, CASE WHEN o_orderkey % 2 <> 0 AND o_totalprice IS NOT NULL THEN true END AS e")
+_rows("op_object_merge_rows", "part", "p_partkey", {"a": "({n: p_name, s: p_size} + {s: p_size * 2}).s", "b": "({n: p_name} + {n: p_brand, s: 1}).n"}, "p_size * 2.0::DOUBLE AS a, p_brand AS b")
+_rows("op_index_text", "part", "p_partkey", {"a": "p_name[0]", "b": "p_name[p_size % 7]", "c": "p_name[length(p_name) - 1]"}, "substr(p_name, 1, 1) AS a, nullif(substr(p_name, (p_size % 7 + 1)::BIGINT, 1), '') AS b, substr(p_name, length(p_name), 1) AS c")
+_rows("op_index_array_key", "part", "p_partkey", {"a": 'join([{n: p_name}, {n: p_brand}]["n"], "|")', "b": 'sum([{n: p_size}, {n: p_partkey}].n)'}, "concat(p_name, '|', p_brand) AS a, p_size + p_partkey + 0.0::DOUBLE AS b")
+_rows("op_dur_sum", "part", "p_partkey", {"h": "(dur(50m) * p_size + dur(40m)).hours", "m": "(dur(50m) * p_size + dur(40m)).minutes", "d": "(dur(50m) * p_size - dur(30m)).minutes"}, "floor(((50 * p_size + 40) % 1440) / 60)::DOUBLE AS h, ((50 * p_size + 40) % 60)::DOUBLE AS m, ((50 * p_size - 30) % 60)::DOUBLE AS d")
+_rows("op_method", "part", "p_partkey", {"a": 'p_name.upper().split(" ")[1]', "b": "[p_size, p_partkey].max()", "c": "p_brand.length()"}, "split_part(upper(p_name), ' ', 2) AS a, greatest(p_size, p_partkey)::DOUBLE AS b, length(p_brand)::DOUBLE AS c")
+_rows("fn_all_none", "embeddings", "vec_id", {"a": "all(embedding, (x) => x < 2)", "b": "none(embedding, (x) => x > 2)", "c": "all([label % 2, label % 3])", "d": "any(label % 2, label % 3)", "e": "none([label % 2])"}, "list_bool_and(list_transform(embedding, lambda x: x < 2)) AS a, NOT list_bool_or(list_transform(embedding, lambda x: x > 2)) AS b, label % 2 <> 0 AND label % 3 <> 0 AS c, label % 2 <> 0 OR label % 3 <> 0 AS d, label % 2 = 0 AS e")
+_rows("fn_array_flat", "part", "p_partkey", {"a": 'join(array(p_name, p_brand), "|")', "b": 'join(flat([[p_name, p_brand], [p_type]]), "|")', "c": 'join(nonnull([p_name, choice(p_size % 2, p_brand, null), p_type]), "|")'}, "concat(p_name, '|', p_brand) AS a, concat(p_name, '|', p_brand, '|', p_type) AS b, concat_ws('|', p_name, CASE WHEN p_size % 2 <> 0 THEN p_brand END, p_type) AS c")
+_rows("fn_slice_items", "part", "p_partkey", {"a": 'join(slice(split(p_name + " " + p_type, " "), 1, 3), "|")', "b": 'join(slice([p_name, p_brand, p_type], p_size % 3), "|")'}, "array_to_string(string_split(concat(p_name, ' ', p_type), ' ')[2:3], '|') AS a, array_to_string([p_name, p_brand, p_type][(p_size % 3 + 1)::BIGINT:3], '|') AS b")
+_rows("fn_hash_rows", "nation", "n_nationkey", {"h": "hash(n_name) % 1000003"}, "(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 1000003)::DOUBLE AS h")
+_rows("fn_length_text", "documents", "doc_id", {"a": "length(text)", "b": "length(split(text, \"\\n\"))"}, "(coalesce(length(text), 0) + coalesce(length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')), 0))::DOUBLE AS a, coalesce(len(string_split(text, chr(10))), 0)::DOUBLE AS b")
+_rows("fn_link_rows", "part", "p_partkey", {"b": 'meta(link(p_name + choice(p_size % 2, "#^x", "#Head one"))).type', "c": 'meta(embed(link(p_name), p_size % 2)).embed', "d": 'meta(link(p_name + "#Head, one")).subpath', "e": 'meta(link(p_name, p_brand)).display'}, "CASE WHEN p_size % 2 <> 0 THEN 'block' ELSE 'header' END AS b, p_size % 2 <> 0 AS c, 'Head one' AS d, p_brand AS e")
+
+
+@_array("da_nested", "SELECT o_orderpriority AS k, o_orderstatus AS s, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) - 1 AS at, o_orderkey FROM orders")
+def _(spark, d):
+    groups = _orders(spark, d).group_by(k=F.col("o_orderpriority")).group_in(s=F.col("o_orderstatus")).nested("o_orderkey")
+    return groups.select("k", "s", F.posexplode("rows").alias("at", "row")).select("k", "s", F.col("at").cast("long").alias("at"), "row.o_orderkey")
+
+
+@_array("da_slice_end", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500 OFFSET (SELECT count(*) - 700 FROM orders)")
+def _(spark, d):
+    return _orders(spark, d).sort(F.col("o_totalprice"), "desc").slice(-700, -200).df.select("o_orderkey")
+
+
+@_array("da_paged", "SELECT o_orderkey, (SELECT ceil(count(*) / 50) FROM orders)::BIGINT AS pages FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET (SELECT (ceil(count(*) / 50) - 1)::BIGINT * 50 FROM orders)")
+def _(spark, d):
+    page = _orders(spark, d).paged(10**9)
+    return page.rows.select("o_orderkey", F.lit(page.pages).cast("long").alias("pages"))
+
+
+@_array("da_comparator", "SELECT o_orderkey, row_number() OVER (ORDER BY length(o_orderpriority), o_orderkey) - 1 AS index FROM orders")
+def _(spark, d):
+    return _orders(spark, d).sort(F.col("o_orderpriority"), comparator=lambda a, b: len(a) - len(b)).indexed().select("o_orderkey", "index")
+
+
+@_array("da_expand_all", "SELECT 'c' || c_custkey AS k, 0 AS depth FROM customer UNION ALL SELECT 'o' || o_orderkey, 1 FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'l' || l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey || '.' || l_quantity::BIGINT, 2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
+def _(spark, d):
+    none = F.array().cast("array<string>")
+    items = table(spark, d, "lineitem").select(F.concat(F.lit("l"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"))).alias("k"), none.alias("below"), F.concat(F.lit("o"), "l_orderkey").alias("up"))
+    orders = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("k"), F.concat(F.lit("c"), "o_custkey").alias("up"))
+    held = lambda rows: rows.groupBy(F.col("up").alias("k")).agg(F.collect_list("k").alias("below"))
+    middle = orders.join(held(items), "k", "left").select("k", F.coalesce("below", none).alias("below"))
+    top = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("k")).join(held(orders), "k", "left").select("k", F.coalesce("below", none).alias("below"))
+    return DataArray.of(top, "k").expand(middle.unionByName(items.select("k", "below")), key="k", child="below").df.select("k", F.col("_depth").alias("depth"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.common import strip, table
+from noteweave.functions.columns import header_name
 from noteweave.operators.references import canonical_path
 from noteweave.operators.shred import entities
 from noteweave.operators.wide import winners
@@ -44,7 +45,7 @@ def stored_vault(spark: SparkSession, sf_dir: str) -> ObjectStore:
     columns = {"title": ("$title", "string"), "level": ("$level", "int"), "line": ("$position.start", "bigint")}
     adjacent = V.page_adjacency(spark, sf_dir, [p for p, _ in columns.values()], "$sections")
     flat = entities(adjacent.where((F.col("label") == "$sections") | F.col("scalar").isNotNull()), labels=V.NODE_LABELS, columns=columns)
-    header = F.trim(F.regexp_replace("title", r"[^\p{L}\p{N}\p{M}\p{So}_-]+", " "))
+    header = header_name(F.col("title"))
     sections = flat.select(
         F.concat("doc", F.lit("#"), "node").alias("id"), F.lit("Section").alias("typename"), F.array(F.lit("section")).alias("types"), F.col("doc").alias("parent_id"), F.array("doc").alias("ancestors"), F.col("doc").alias("file"),
         F.regexp_extract("doc", "^(.*)/[^/]*$", 1).alias("folder"), F.array().cast("array<string>").alias("tags"), F.concat("doc", F.lit("#"), header).alias("link_key"), "title", "level", "line", F.create_map().cast("map<string,string>").alias("fields"),
