@@ -15,14 +15,14 @@ from noteweave.plans.parser import ParseError, parse_expression, parse_link, par
 
 D = dt.datetime
 CASES = [
-    ("map([1, 2, 3], (k) => k + 4)", [5, 6, 7]), ("min()", None), ("min(3, 1, 2)", 1), ("max([4, 9, 2])", 9), ("min(null, 4)", 4), ("sum([1, 2, 3])", 6), ('sum(["a", "b", "c"])', "abc"),
-    ("average([1, 2, 6])", 3), ("product([2, 3, 4])", 24), ("all(true, list(false))", True), ("all([true, false])", False), ("any([0, 1])", True), ("none([0, 0])", True), ("any()", False), ("all()", True),
-    ("12 + 8 - 4 / 2", 18), ("((a) => (b) => a + b)(1)(2)", 3), ('"a" + 5', "a5"), ('5 + "a"', "5a"), ("-5 % 3", -2), ("5 / 0", math.inf), ("null < 5", True), ("5 < null", False), ("null = 5", False),
+    ("map([7, 20, 31], (z) => z * 3 - 1)", [20, 59, 92]), ("min()", None), ("min(8, 5, 13)", 5), ("max([4, 19, 12])", 19), ("min(null, 4)", 4), ("sum([14, 2.5, 3])", 19.5), ('sum(["oak", "-", "elm"])', "oak-elm"),
+    ("average([10, 4, 1])", 5), ("product([5, 3, 0.5])", 7.5), ("all(1, [0])", True), ("all([\"x\", \"\"])", False), ("any([0, 1])", True), ("none([0, 0])", True), ("any()", False), ("all()", True),
+    ("50 - 6 * 7 + 9 / 4", 10.25), ("((p) => (q, r) => p * q - r)(6)(7, 2)", 40), ('"a" + 5', "a5"), ('5 + "a"', "5a"), ("-5 % 3", -2), ("5 / 0", math.inf), ("null < 5", True), ("5 < null", False), ("null = 5", False),
     ("null != 5", True), ("null = null", None), ("!null", True), ('1 < "a"', True), ('"a" < 1', False), ("true & 0", False), ("false | 1", True), ('"ab" * 3', "ababab"), ('"ab" * -1', ""),
-    ('split("hello world", " ")', ["hello", "world"]), ('split("a,b,c", ",", 2)', ["a", "b"]), ('truncate("Hello There!", 8)', "Hello..."), ('truncate("Hi", 8)', "Hi"),
-    ('replace(["a","b","c"], "a", ["d","e","f"])', ["d", "b", "c"]), ('replace("abc", "b", "x")', "axc"), ('lower("ABC")', "abc"), ('upper(["a", "b"])', ["A", "B"]),
+    ('split("kettle;amber;wagon", ";")', ["kettle", "amber", "wagon"]), ('split("x1y22z", "[0-9]+", 2)', ["x", "y"]), ('truncate("thimble and needle", 10)', "thimble..."), ('truncate("oar", 9)', "oar"),
+    ('replace(["tin pan","tin cup"], "tin", ["iron","clay"])', ["iron pan", "clay cup"]), ('replace("abc", "b", "x")', "axc"), ('lower("ABC")', "abc"), ('upper(["a", "b"])', ["A", "B"]),
     ('startswith("path/x", "path")', True), ('endswith("path/x", "y")', False), ('padleft("a", 4)', "   a"), ('padright("a", 4, "xy")', "axyx"), ('padleft("abcde", 3)', "abcde"),
-    ('substring("hello", 1, 3)', "el"), ('substring("hello", 3, 1)', "el"), ('substring("hello", 2)', "llo"), ('regexreplace("abc", "b(c)", "$1x")', "acx"), ('regextest("b", "abc")', True),
+    ('substring("lantern", 2, 5)', "nte"), ('substring("lantern", 5, 2)', "nte"), ('substring("lantern", 4)', "ern"), ('regexreplace("abc", "b(c)", "$1x")', "acx"), ('regextest("b", "abc")', True),
     ('regexmatch("b", "abc")', False), ('regexmatch("a|b", "ab")', True), ('regexmatch("^a", "abc")', True), ('contains(["abc"], "b")', True), ('econtains(["abc"], "b")', False), ('icontains("ABC", "b")', True),
     ('contains([1, 2], 2)', True), ('containsword("big word", "WORD")', True), ('containsword("bigword", "word")', False), ("length([1, 2, 3])", 3), ('length("a\U0001F600")', 3), ("length(null)", 0),
     ("round(2.5)", 3), ("round(-2.5)", -2), ("round(1.005, 2)", 1.0), ("round(0.125, 2)", 0.13), ("round([1.4, 1.6])", [1, 2]), ("trunc(-2.7)", -2), ("floor(-2.2)", -3), ("ceil(2.2)", 3),
@@ -32,11 +32,11 @@ CASES = [
     ("default(null, 3)", 3), ("default([1, null], 0)", [1, 0]), ('choice(1 < 2, "a", "b")', "a"), ("[1, 2, 3][1]", 2), ("[1, 2][5]", None), ("{a: 5}.a", 5), ('{a: 5}["A"]', 5), ("[{a: 1}, {a: 2}].a", [1, 2]),
     ("minby([{a: 2}, {a: 1}], (x) => x.a).a", 1), ("maxby([{k: 1, v: 1}, {k: 1, v: 2}], (x) => x.k).v", 2), ("join([1, 2, 3])", "1, 2, 3"), ('join(["a", "b"], "-")', "a-b"), ("join(4)", "4"),
     ("extract({a: 1, b: 2}, \"b\").b", 2), ("slice([1, 2, 3, 4], 1, 3)", [2, 3]), ("slice([1, 2, 3], -2)", [2, 3]), ("list(1, 2)", [1, 2]), ('object("a", 1).a', 1), ("[1] + [2, 3]", [1, 2, 3]), ("({a: 1} + {a: 2, b: 3}).a", 2),
-    ("date(2021-01-31) + dur(1 month)", D(2021, 2, 28)), ("2021-03-04T11:22 - dur(30m)", D(2021, 3, 4, 10, 52)), ("date(2021-03-04).week", 9), ("2021-03-04.year", 2021), ('date("2021-03")', D(2021, 3, 1)),
-    ('date("210313", "yyMMdd")', D(2021, 3, 13)), ('date("1600000000000", "x")', D(2020, 9, 13, 12, 26, 40)), ('date("nonsense")', None), ("striptime(2021-03-04T11:22)", D(2021, 3, 4)),
-    ('dateformat(date(2021-03-04), "yyyy/MM/dd")', "2021/03/04"), ("date(2021-03-31) - date(2021-01-30)", Duration(months=2, days=1)), ("dur(4h 15m)", Duration(hours=4, minutes=15)), ('dur("1 week, 2 days")', Duration(weeks=1, days=2)),
-    ("dur(90m) + dur(30m)", Duration(hours=2)), ("dur(3h) * 2", Duration(hours=6)), ("dur(6h) / 2", Duration(hours=3)), ("dur(60m) = dur(1h)", True), ("dur(4h 15m).minutes", 15), ('"took " + dur(3h 4m)', "took 3 hours, 4 minutes"),
-    ('"on " + date(2021-03-04)', "on March 04, 2021"), ("meta([[My Project#^9bcbe8]]).type", "block"), ("[[a/b.md|x]].path", None), ('string([[a/b.md|x]])', "[[a/b.md|x]]"), ('link("X").path', None), ('meta(link("X", "y")).display', "y"), ("meta(embed([[X]])).embed", True),
+    ("date(2019-10-31) + dur(4 months)", D(2020, 2, 29)), ("2021-03-04T11:22 - dur(30m)", D(2021, 3, 4, 10, 52)), ("date(2021-03-04).week", 9), ("2021-03-04.year", 2021), ('date("2021-03")', D(2021, 3, 1)),
+    ('date("04.11.1998", "dd.MM.yyyy")', D(1998, 11, 4)), ('date("1600000000000", "x")', D(2020, 9, 13, 12, 26, 40)), ('date("nonsense")', None), ("striptime(2021-03-04T11:22)", D(2021, 3, 4)),
+    ('dateformat(date(2021-03-04), "yyyy/MM/dd")', "2021/03/04"), ("date(2021-03-31) - date(2021-01-30)", Duration(months=2, days=1)), ("dur(7h 3m)", Duration(hours=7, minutes=3)), ('dur("3 weeks, 5 days")', Duration(weeks=3, days=5)),
+    ("dur(90m) + dur(30m)", Duration(hours=2)), ("dur(3h) * 2", Duration(hours=6)), ("dur(6h) / 2", Duration(hours=3)), ("dur(60m) = dur(1h)", True), ("dur(9h 41m).minutes", 41), ('"took " + dur(3h 4m)', "took 3 hours, 4 minutes"),
+    ('"on " + date(2021-03-04)', "on March 04, 2021"), ("meta([[Boats/Keel#^oar-7]]).type", "block"), ("[[a/b.md|x]].path", None), ('string([[a/b.md|x]])', "[[a/b.md|x]]"), ('link("X").path', None), ('meta(link("X", "y")).display', "y"), ("meta(embed([[X]])).embed", True),
     ("[[X]] = [[X|other]]", True), ("[1, 2] < [1, 3]", True), ('"a" < "B"', True), ("date(2021-01-01) < date(2021-01-02)", True), ("[1,2,3].filter((x) => x > 1).length()", 2),
 ]
 
@@ -84,14 +84,14 @@ def test_mixed_kinds_are_not_static():
     for text in ('[1, "a"]', 'choice(true, 1, "a")', 'split("ab", "(a)")'):
         with pytest.raises(NotStatic):
             Compiler(lambda _: None).value(parse_expression(text))
-    assert Evaluator().evaluate(parse_expression('split("hello world", "( )(x)?")'), {}) == ["hello", " ", "", "world"]
+    assert Evaluator().evaluate(parse_expression('split("tar and pitch", "( and )(x)?")'), {}) == ["tar", " and ", "", "pitch"]
 
 
 def test_every_function_has_a_column_form():
     assert set(FUNCTIONS) == set(COLUMNS)
 
 
-@pytest.mark.parametrize("text", ["0no", "123.0.0", "fal se", "(1", "[1, ", '"open', ""])
+@pytest.mark.parametrize("text", ["7up", "4.5.6", "nu ll", "(x + 2", "[y, ", '"no end', ""])
 def test_bad_expressions(text):
     with pytest.raises(ParseError):
         parse_expression(text)
@@ -104,7 +104,7 @@ def test_errors():
 
 
 def test_parsing():
-    assert parse_expression("a-b + \U0001F600") == A.Bin("+", A.Var("a-b"), A.Var("\U0001F600"))
+    assert parse_expression("left-over + \U0001F680") == A.Bin("+", A.Var("left-over"), A.Var("\U0001F680"))
     assert parse_expression("a and b or c") == A.Bin("|", A.Bin("&", A.Var("a"), A.Var("b")), A.Var("c"))
     assert parse_query("@a or @b and @c") == A.Or((A.ByType("a"), A.And((A.ByType("b"), A.ByType("c")))))
     assert parse_query("#a/b and linkedto([[X]])") == A.And((A.ByTag("#a/b"), A.Linked(A.ByLink(Link("X")), "incoming")))
