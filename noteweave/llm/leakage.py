@@ -14,13 +14,18 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteweave.common import shelve
+
 #: The seeds; 1 is a compared word, 0 an ignored one. Each spans fewer words than a leak.
 SEEDS = ("111011001011011", "1101100111010111", "11101010011110111")
-#: So many test words are held by a worker at once; further test items make further passes over the corpus.
+#: So many test words are held by a worker at once; more test items are joined with the corpus by the hashes of windows.
 BLOCK_WORDS = 500_000
+#: Bits, as a power of two, of the filter that corpus windows pass before they are shuffled for that join.
+FILTER_BITS = 26
 #: Slots of the table that most windows are ruled out by.
 _SLOTS = 1 << 21
 #: Documents of at most so many characters together are compared at once.
@@ -160,37 +165,129 @@ def find_leaks(
     letters and digits in lower case. Null and empty texts hold nothing; repeated documents fold
     together; other columns are ignored.
 
-    Test items are read one by one and held in blocks of ``block_words`` words, which is what a worker
-    gets at once; a further block is a further pass over the corpus. No corpus row is shuffled; only
-    leaks are.
+    Up to ``block_words`` test words are held by every worker: no corpus row is shuffled, only leaks are. More
+    test items are joined instead: the hashes of all their windows with those of the corpus windows that pass a filter
+    of fixed size; texts in which a window hits meet the item's. The result is the same, and either way the corpus is
+    read a fixed number of times.
     """
     if min_words < max(map(len, seeds)):
         raise ValueError("a seed must not span more than min_words")
     spark = docs.sparkSession
-    kinds = f"`{doc_key}` {docs.schema[doc_key].dataType.simpleString()}, item int, exact_words int, similar_words int"
     corpus = docs.select(F.col(doc_key), F.col(text).cast("string").alias("text"))
-    found: DataFrame | None = None
-    stream = ((r[0], r[1]) for r in items.select(item_key, item_text).where(F.col(item_text).isNotNull()).distinct().toLocalIterator())
-    for held in blocks(stream, block_words):
-        shared = spark.sparkContext.broadcast(make_block(held, seeds))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, texts = batch.column(0), batch.column(1).to_pylist()
-                for lo, hi in _chunks(texts):
-                    rows = [r for r in overlaps(texts[lo:hi], shared.value, seeds, substitutions) if r[3] >= min_words]
-                    if rows:
-                        doc, *rest = zip(*rows)
-                        yield pa.RecordBatch.from_arrays([keys.take(pa.array([lo + d for d in doc])), *(pa.array(x, pa.int32()) for x in rest)], [doc_key, "item", "exact_words", "similar_words"])
-
-        ids = spark.createDataFrame(pd.DataFrame({"item": range(len(held)), item_key: [i for i, _ in held]}), f"item int, `{item_key}` {items.schema[item_key].dataType.simpleString()}")
-        part = corpus.mapInArrow(run, kinds).join(F.broadcast(ids), "item").drop("item")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], f"`{doc_key}` {docs.schema[doc_key].dataType.simpleString()}, exact_words int, similar_words int, `{item_key}` {items.schema[item_key].dataType.simpleString()}")
+    tests = items.select(item_key, F.col(item_text).cast("string").alias("item_text")).where(F.col(item_text).isNotNull()).distinct()
+    stream = blocks(((r[0], r[1]) for r in tests.toLocalIterator()), block_words)
+    held = next(stream, None)
+    if held is not None and next(stream, None) is not None:
+        return _joined_leaks(corpus, tests, doc_key, item_key, min_words, substitutions, seeds)
+    if held is None:
+        return spark.createDataFrame([], f"`{doc_key}` {docs.schema[doc_key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, exact_words int, similar_words int")
+    shared = spark.sparkContext.broadcast(make_block(held, seeds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            for lo, hi in _chunks(texts):
+                rows = [r for r in overlaps(texts[lo:hi], shared.value, seeds, substitutions) if r[3] >= min_words]
+                if rows:
+                    doc, *rest = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([lo + d for d in doc])), *(pa.array(x, pa.int32()) for x in rest)], [doc_key, "item", "exact_words", "similar_words"])
+
+    kinds = f"`{doc_key}` {docs.schema[doc_key].dataType.simpleString()}, item int, exact_words int, similar_words int"
+    ids = spark.createDataFrame(pd.DataFrame({"item": range(len(held)), item_key: [i for i, _ in held]}), f"item int, `{item_key}` {items.schema[item_key].dataType.simpleString()}")
+    found = corpus.mapInArrow(run, kinds).join(F.broadcast(ids), "item").drop("item")
+    return _longest_of(found, doc_key, item_key)
+
+
+def _longest_of(found: DataFrame, doc_key: str, item_key: str) -> DataFrame:
     return found.groupBy(doc_key, item_key).agg(F.max("exact_words").alias("exact_words"), F.max("similar_words").alias("similar_words"))
 
 
+def _seed_hashes(text: str | None, seeds: tuple[str, ...]) -> Iterator[np.ndarray]:
+    """Per seed, the hashes of a text's windows, the same on every worker; seeds have hashes of their own."""
+    codes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words(text)), np.uint64)
+    for s, seed in enumerate(seeds):
+        yield _window_hashes(codes, seed) * np.uint64(2 * s + 1) + np.uint64(s)
+
+
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each hash."""
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    mixed = h * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(34)) & mask, (mixed >> np.uint64(3)) & mask
+
+
+def _window_rows(texts: DataFrame, seeds: tuple[str, ...], bits=None) -> DataFrame:
+    """id, h, at: the windows of ``texts`` (id, text) by the seed's hash; those only that pass ``bits`` (a broadcast filter)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _chunks(batch.column(1).to_pylist()):
+                ids, hashes, places = [], [], []
+                for k, text in zip(batch.column(0).to_pylist()[lo:hi], batch.column(1).to_pylist()[lo:hi]):
+                    for h in _seed_hashes(text, seeds):
+                        at = np.arange(len(h))
+                        if bits is not None:
+                            a, b = _places(h)
+                            held = bits.value
+                            at = np.flatnonzero((held[a >> np.uint64(3)] >> (a & np.uint64(7)) & 1) & (held[b >> np.uint64(3)] >> (b & np.uint64(7)) & 1))
+                        ids.append(np.full(len(at), k, np.int64))
+                        hashes.append(h[at].view(np.int64))
+                        places.append(at)
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places).astype(np.int32))], ["id", "h", "at"])
+
+    return texts.mapInArrow(run, "id long, h long, at int")
+
+
+def _filter_of(tests: DataFrame, seeds: tuple[str, ...]) -> np.ndarray:
+    """The packed bits that the windows of all test items set. Tasks send filters of one fixed size, 32 of them at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for h in _seed_hashes(text, seeds):
+                    for a in _places(h):
+                        np.bitwise_or.at(bits, a >> np.uint64(3), np.left_shift(np.uint8(1), (a & np.uint64(7)).astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in tests.select("item_text").coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r[0], np.uint8)
+    return out
+
+
+def _joined_leaks(corpus: DataFrame, tests: DataFrame, doc_key: str, item_key: str, min_words: int, substitutions: int, seeds: tuple[str, ...]) -> DataFrame:
+    """``find_leaks`` by a join of windows. Texts are told apart by a hash of key and text."""
+    spark = corpus.sparkSession
+    d = corpus.select(F.xxhash64(F.col(doc_key), F.lit(0), "text").alias("id"), "text", F.col(doc_key).alias("_doc"))
+    t = shelve(tests.select(F.xxhash64(F.col(item_key), F.lit(1), "item_text").alias("item"), "item_text", F.col(item_key).alias("_item")), "tests")
+    bits = spark.sparkContext.broadcast(_filter_of(t, seeds))
+    left = _window_rows(d.select("id", "text"), seeds, bits)
+    right = _window_rows(t.select(F.col("item").alias("id"), F.col("item_text").alias("text")), seeds).select("h", F.col("id").alias("item"), F.col("at").alias("item_at"))
+    hits = left.join(right, "h").select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).groupBy("id", "item").agg(F.collect_set("shift").alias("shifts"))
+    texts = d.join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    pairs = hits.join(texts, "id").join(t, "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            exact, similar = [], []
+            for shifts, text, item_text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                a, b = words(text), words(item_text)
+                best = [0, 0]
+                for shift in shifts:
+                    lo, hi = max(0, -shift), min(len(b), len(a) - shift)
+                    equal = np.fromiter((a[i + shift] == b[i] for i in range(lo, hi)), bool)
+                    best = [max(best[0], _longest(equal, 0)), max(best[1], _longest(equal, substitutions))]
+                exact.append(best[0])
+                similar.append(best[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact, pa.int32()), pa.array(similar, pa.int32())], [doc_key, item_key, "exact_words", "similar_words"])
+
+    kinds = f"`{doc_key}` {corpus.schema[doc_key].dataType.simpleString()}, `{item_key}` {tests.schema[item_key].dataType.simpleString()}, exact_words int, similar_words int"
+    checked = pairs.select("_doc", "_item", "shifts", "text", "item_text").mapInArrow(run, kinds)
+    return _longest_of(checked.where(F.col("similar_words") >= min_words), doc_key, item_key)
+
+
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     lo, size = 0, 0
     for i, t in enumerate(texts):

@@ -234,8 +234,21 @@ def test_leaks_with_replaced_words(spark):
     changed[30] = "other"
     docs = spark.createDataFrame([(1, " ".join(changed[11:50])), (2, " ".join(text[:19])), (3, " ".join(text[:30] + ["more"] + text[30:]))], "doc_id long, text string")
     items = spark.createDataFrame([(9, " ".join(text))], "item_id long, item_text string")
-    got = {r["doc_id"]: (r["exact_words"], r["similar_words"]) for r in find_leaks(docs, items).collect()}
-    assert got == {1: (19, 39), 3: (30, 30)}
+    more = items.unionByName(spark.createDataFrame([(8, "nothing of the kind " * 10)], "item_id long, item_text string"))
+    for tests, size in ((items, 500_000), (more, 30)):
+        got = {r["doc_id"]: (r["exact_words"], r["similar_words"]) for r in find_leaks(docs, tests, block_words=size).collect()}
+        assert got == {1: (19, 39), 3: (30, 30)}
+
+
+def test_recall_of_replaced_words():
+    """How many ways to replace two inner words leave no seed to hit, by the length of the passage."""
+    missed = {}
+    for n in (20, 21, 22, 23, 24, 25, 30):
+        hit = lambda gone, n=n: any(all(s[p - o] == "0" for p in gone if 0 <= p - o < len(s)) for s in SEEDS for o in range(n - len(s) + 1))
+        pairs = [(i, j) for i in range(1, n - 1) for j in range(i + 1, n - 1)]
+        missed[n] = (sum(not hit(p) for p in pairs), len(pairs))
+        assert all(hit((i,)) for i in range(1, n - 1))
+    assert missed == {20: (6, 153), 21: (2, 171), 22: (1, 190), 23: (0, 210), 24: (0, 231), 25: (0, 253), 30: (0, 378)}
 
 
 def test_blocks():
