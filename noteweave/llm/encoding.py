@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,22 +76,31 @@ class TreeCodec:
         return left[:keep] + self.piece(text[before:after]) + right[skip:]
 
     def decode(self, ids: list[int]) -> str:
-        if len(ids) <= self.leaf:
-            return self._bytes(ids).decode("utf-8", "replace")
-        return b"".join(self._bytes(ids[i : i + self.leaf]) for i in range(0, len(ids), self.leaf)).decode("utf-8", "replace")
+        return self._bytes(ids, 0, len(ids)).decode("utf-8", "replace")
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return self.bpe.decode_bytes(ids)
+    def _bytes(self, ids: list[int], start: int, end: int) -> bytes:
+        """The bytes of ids[start:end]: those of its halves, one after the other."""
+        if end - start <= self.leaf:
+            return self.bpe.decode_bytes(ids[start:end])
+        middle = (start + end) // 2
+        return self._bytes(ids, start, middle) + self._bytes(ids, middle, end)
 
 
 _codecs: dict[str, TreeCodec] = {}
 
 
-def codec(vocabulary: str) -> TreeCodec:
-    """One codec per worker and vocabulary."""
-    if vocabulary not in _codecs:
-        _codecs[vocabulary] = TreeCodec(vocabulary)
-    return _codecs[vocabulary]
+def codec(name: str) -> TreeCodec:
+    """One codec per worker and vocabulary file, which Spark has sent to the worker's machine."""
+    if name not in _codecs:
+        _codecs[name] = TreeCodec(SparkFiles.get(name))
+    return _codecs[name]
+
+
+def _sent(df: DataFrame, folder: str, tokenizer: str) -> str:
+    """The name under which all workers get a vocabulary file."""
+    name = f"{tokenizer}.tiktoken"
+    df.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    return name
 
 
 def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str = BYTE_BPE_50K, folder: str = TOKENIZERS) -> DataFrame:
@@ -100,7 +110,7 @@ def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     are ignored. Strings of special tokens in a text are ordinary text. No row moves: each worker encodes
     the rows of its own split.
     """
-    vocabulary = f"{folder}/{tokenizer}.tiktoken"
+    vocabulary = _sent(docs, folder, tokenizer)
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +127,7 @@ def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
 
 def decode_corpus(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", tokenizer: str = BYTE_BPE_50K, folder: str = TOKENIZERS) -> DataFrame:
     """``key``, text of every row; a null list gives a null text, an empty one an empty text."""
-    vocabulary = f"{folder}/{tokenizer}.tiktoken"
+    vocabulary = _sent(encoded, folder, tokenizer)
     key_type = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
