@@ -4,8 +4,9 @@ Per source, the discrete hazard of ending at each length is tested against the h
 lengths, with false-discovery control; lengths are counted in characters and bytes, and also within
 blocks of common sizes. How a text ends is then weighed: the line it stops in against the last lines of
 whole files and against the lines in which files stop that are cut anywhere, and its last word against
-the words of the corpus. The hazard at its length, or else the rate at which its source loses the rest
-of texts at no special length, gives the prior odds.
+the words of the corpus. The hazard at its length gives the prior odds; or else the share of cut texts among those
+that end with the same mark of a cut, which line ends after it tell; or else the rate at which its source loses the
+rest of texts at no special length.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from noteweave.llm.discovery import with_q_values
 # Marks that a cut may leave at the very end, and block sizes of storage and transfer.
 MARKS = ["…", "[cut]", "[truncated]", "[...]", "<truncated>", "�", "..."]
 BLOCKS = [512, 1000, 1024, 4096]
-_MARK_END = r"(?: ?(?:" + "|".join(re.escape(m) for m in MARKS) + "))++$"
+_MARK_END = r"(?:(?:" + "|".join(re.escape(m) for m in MARKS) + "))++$"
 
 #: Lengths at most so far away are neighbours.
 REACH = 64
@@ -64,25 +65,31 @@ def _ending(text: Column) -> Column:
     return let(F.substring_index(text, "\n", -3), tail)  # the last line and two line ends after it
 
 
-def _line_ends(text: Column, mark: str) -> Column:
-    """How many lines of a text but the last end with ``mark``."""
-    line = mark + "\n"
-    return F.when(text.contains(line), F.size(F.split(text, re.escape(line))) - 1).otherwise(0)
-
-
 def _features(docs: DataFrame, key: str, text: str, source: str, lang: str) -> DataFrame:
-    """A row per text that isn't blank: its lengths, its ending, how it ends where it is cut on trial, and its lines
-    with how many of them end with each mark. ``mark`` is the place of the mark at its very end, -1 for none."""
+    """A row per text that isn't blank: its lengths, its ending, and how it ends where it is cut on trial. ``mark`` tells
+    the mark at the end of its last line, and whether a blank stands before it, by a number, -1 for none; ``bare`` is
+    how it ends before its marks."""
     body = docs.where(strip(F.col(text)) != "").select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("t"))
     chars = F.length("t")
-    mark = reduce(lambda c, i: c.when(F.col("t").endswith(MARKS[i]), i), range(1, len(MARKS)), F.when(F.col("t").endswith(MARKS[0]), 0)).otherwise(-1)
-    end = F.when(mark >= 0, F.regexp_replace(F.substring_index("t", "\n", -1), _MARK_END, "")).otherwise(F.substring_index("t", "\n", -3))
+    last = F.substring_index(F.regexp_replace(F.substring_index("t", "\n", -2), r"\r?\n$", ""), "\n", -1)
+    which = reduce(lambda c, i: c.when(last.endswith(MARKS[i]), i), range(1, len(MARKS)), F.when(last.endswith(MARKS[0]), 0)).otherwise(-1)
+    marked = F.when(which >= 0, let(F.regexp_replace(last, _MARK_END, ""), lambda core: F.struct((which * 2 + F.when(core.rlike(r"\s$"), 1).otherwise(0)).alias("mark"), _ending(core).alias("bare"))))
     places = F.array(*(1 + F.pmod(F.xxhash64("t", F.lit(i)), F.greatest(chars - 1, F.lit(1))) for i in range(TRIAL_CUTS)))
     cuts = F.transform(places, lambda p: _ending(F.substring(F.col("t"), F.lit(1), p.cast("int"))))
     return body.select(
-        "key", "source", "lang", chars.cast("long").alias("chars"), F.octet_length("t").cast("long").alias("bytes"), F.xxhash64("t").alias("content"), mark.alias("mark"),
-        _ending(end).alias("end"), cuts.alias("cuts"), (chars - F.length(F.replace(F.col("t"), F.lit("\n"), F.lit("")))).cast("long").alias("lines"), F.array(*(_line_ends(F.col("t"), m) for m in MARKS)).alias("marked_lines"),
-    )
+        "key", "source", "lang", chars.cast("long").alias("chars"), F.octet_length("t").cast("long").alias("bytes"), F.xxhash64("t").alias("content"), marked.alias("m"), _ending(F.col("t")).alias("end"), cuts.alias("cuts")
+    ).select("*", F.coalesce("m.mark", F.lit(-1)).alias("mark"), "m.bare").drop("m")
+
+
+def _mark_rates(features: DataFrame) -> dict[int, float]:
+    """For each mark the share of cut texts among those that end with it and with no line end after it.
+
+    Whole texts that end with a mark mostly have a line end after it, as whole texts do; as many of them lack it as
+    of all texts do. What there is beyond that was cut; one text more may be either, so that few settle nothing."""
+    rows = features.groupBy("mark", "end.nl").agg(F.count("*").alias("n")).collect()  # two rows per mark
+    n = {(r["mark"], r["nl"]): r["n"] for r in rows}
+    lacking = sum(k for (_, nl), k in n.items() if not nl) / max(sum(k for (_, nl), k in n.items() if nl), 1)
+    return {m: (max(k - n.get((m, True), 0) * lacking, 0) + 0.5) / (k + 1) for (m, nl), k in n.items() if m >= 0 and not nl}
 
 
 def _units(f: DataFrame) -> Column:
@@ -196,23 +203,6 @@ def _ending_odds(features: DataFrame) -> DataFrame:
     return ends.join(model, ["lang", "shape"], "left").select("key", "source", "mark", "word", odds.alias("odds"))
 
 
-def _mark_odds(features: DataFrame) -> list[float]:
-    """How much likelier each mark of ``MARKS``, and then none, is at the end of a cut text than of a whole one.
-
-    Whole texts end with a mark as often as lines do, half a line more; the other texts that end with it were cut,
-    at the first guess of the rate of cuts at least."""
-    ends = [F.count_if(F.col("mark") == i).alias(f"e{i}") for i in range(len(MARKS))]
-    lines = [F.sum(F.get("marked_lines", F.lit(i))).alias(f"l{i}") for i in range(len(MARKS))]
-    held = features.agg(F.count("*").alias("texts"), F.sum("lines").alias("lines"), *ends, *lines).collect()[0]  # one row
-    texts, all_lines = max(held["texts"], 1), max(held["lines"] or 0, 1)
-    whole = [((held[f"l{i}"] or 0) + 0.5) / (all_lines + 1) for i in range(len(MARKS))]
-    extra = [max(held[f"e{i}"] / texts - w, 0.0) for i, w in enumerate(whole)]
-    rate = max(FIRST_RATE, sum(extra))
-    cut = [x / rate + w for x, w in zip(extra, whole)]
-    none = max(1 - sum(cut), 0.5) / max(1 - sum(whole), 0.5)
-    return [c / w for c, w in zip(cut, whole)] + [none]
-
-
 def _word_odds(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
     """word, word_odds: how much likelier it is to stop in or after ``word`` by a cut than at its end by intent."""
     tokens = docs.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
@@ -259,6 +249,10 @@ def find_truncated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     languages are one of their own; repeated rows are judged alike; other columns are ignored.
     """
     features = shelve(_features(docs, key, text, source, lang), "endings")
+    # what whole texts end with as often is no mark; before others the text itself is looked at
+    marks = {m: rate for m, rate in _mark_rates(features).items() if rate > 0.5}
+    real = F.col("mark").isin(*marks) & ~F.col("end.nl") if marks else F.lit(False)
+    features = features.withColumns({"mark": F.when(real, F.col("mark")).otherwise(-1), "end": F.when(real, F.col("bare")).otherwise(F.col("end"))})
     hazards = length_hazards(features, reach=reach)
     # odds of a cut at such a length, from the least excess that two standard errors leave; a handful of texts proves no habit
     odds = (F.col("n") - F.col("expected") - 2 * F.sqrt("n")) / (F.col("expected") + 0.5)
@@ -269,11 +263,10 @@ def find_truncated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     words = ends.where("word <> ''").select("word").distinct()
     # texts that don't stop in a word, which are most, take no part in the join
     stopped = ends.where("word <> ''").join(_word_odds(docs, text, words), "word", "left")
-    marks = [math.log(x) for x in _mark_odds(features)]
-    marked = F.element_at(F.array(*map(F.lit, marks[-1:] + marks[:-1])), F.col("mark") + 2)
-    judged = stopped.unionByName(ends.where("coalesce(word, '') = ''"), allowMissingColumns=True).select("key", "source", (F.log("odds") + F.coalesce(F.log("word_odds"), F.lit(0.0)) + marked).alias("log_odds"))
+    judged = stopped.unionByName(ends.where("coalesce(word, '') = ''"), allowMissingColumns=True).select("key", "source", "mark", (F.log("odds") + F.coalesce(F.log("word_odds"), F.lit(0.0))).alias("log_odds"))
     judged = shelve(judged.join(at, "key", "left"), "judged")
-    bins = judged.where("limit is null").groupBy("source", F.round("log_odds", 1).alias("log_odds")).agg(F.count("*").alias("n"))
+    bins = judged.where("limit is null and mark < 0").groupBy("source", F.round("log_odds", 1).alias("log_odds")).agg(F.count("*").alias("n"))
     rates = bins.groupBy("source").applyInPandas(fit_rates, "source string, rate double")
-    prior = F.coalesce(F.log("limit.limit_odds"), F.log(F.col("rate") / (1 - F.col("rate"))), F.lit(-20.0))
+    of_mark = reduce(lambda c, m: c.when(F.col("mark") == m, math.log(marks[m] / (1 - marks[m]))), marks, F.when(F.lit(False), 0.0))
+    prior = F.coalesce(F.log("limit.limit_odds"), of_mark, F.log(F.col("rate") / (1 - F.col("rate"))), F.lit(-20.0))
     return judged.join(rates, "source", "left").select(F.col("key").alias(key), "source", (1 / (1 + F.exp(-(F.col("log_odds") + prior)))).alias("probability"), F.col("limit.unit").alias("at_limit")).distinct()
