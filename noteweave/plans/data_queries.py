@@ -24,6 +24,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_wide(spark, sf_dir).select("page_path", F.explode("misfits").alias("field_key"))
 
 
+def p1_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the fields of text, list, number and boolean: the pages that have a value, of the declared type or not."""
+    types = V.declared_types(spark, sf_dir)
+    names = [c for c, t in types.items() if t in ("text", "list", "number", "boolean")]
+    filled = [F.when(F.col(f"`{c}`").isNotNull() | F.array_contains("misfits", c), F.lit(c)) for c in names]
+    return p1_wide(spark, sf_dir).select(F.explode(F.array_compact(F.array(*filled))).alias("field_key")).groupBy("field_key").agg(F.count("*").alias("pages"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References whose file isn't there at the time of the reference."""
     return orphan_references(V.all_references(spark, sf_dir), V.file_lives(spark, sf_dir)).drop("at")
@@ -117,7 +125,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_instants(spark, sf_dir).where("epoch_ms is not null").select("field_id", "epoch_ms").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_wide, p1_found, p2_found, p2_report, p4_found, p4_cards, p4_sections, p4_blocks, p4_items, p5_instants, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_wide, p1_filled, p1_found, p2_found, p2_report, p4_found, p4_cards, p4_sections, p4_blocks, p4_items, p5_instants, p5_found)}
 _ORPHANS = r"""WITH c0 AS (SELECT DISTINCT canvas_path, mtime, CASE WHEN json_valid(cards) THEN (CASE json_type(cards) WHEN 'VARCHAR' THEN cards::JSON->>'$' ELSE cards END) END AS cards
   FROM (SELECT * FROM canvases QUALIFY rank() OVER (PARTITION BY canvas_path ORDER BY revision DESC, loaded_at DESC) = 1)),
 c1 AS (SELECT canvas_path, mtime, unnest(CASE WHEN json_type(cards) = 'ARRAY' THEN json_extract(cards, '$[*]') ELSE json_extract(cards, '$.*') END) AS card FROM c0 WHERE cards IS NOT NULL),
@@ -128,7 +136,27 @@ f AS (SELECT lower(file_path) AS key, ctime, deleted_at FROM vault_files QUALIFY
 o AS (SELECT ref_table, ref_file, ref_key, t0, count(f.key) AS c, min(f.ctime) AS m, bool_or(f.ctime <= t0 AND (f.deleted_at IS NULL OR f.deleted_at > t0)) AS alive FROM k LEFT JOIN f USING (key) GROUP BY ALL),
 r AS (SELECT *, CASE WHEN c = 0 THEN 'missing' WHEN m > t0 THEN 'late' ELSE 'deleted' END AS orphan_kind FROM o WHERE NOT coalesce(alive, false))
 """
+_TEXT = "(CASE WHEN json_type(x) = 'VARCHAR' THEN CASE WHEN json_valid(x->>'$') THEN (x->>'$')::JSON END ELSE x END)"
+_LIST = rf"""CASE json_type({_TEXT}) WHEN 'ARRAY' THEN json_extract({_TEXT}, '$[*]') WHEN 'OBJECT' THEN
+    CASE WHEN list_bool_and(list_transform(json_keys({_TEXT}), lambda k: regexp_matches(k, '^\d+$'))) IS NOT FALSE THEN json_extract({_TEXT}, '$.*') ELSE [{_TEXT}] END END"""
+_NODES = rf"""WITH RECURSIVE last_pages AS (SELECT DISTINCT page_path AS file, sections AS t FROM vault_pages WHERE page_path IS NOT NULL QUALIFY rank() OVER (PARTITION BY page_path ORDER BY revision DESC, loaded_at DESC) = 1),
+last_boards AS (SELECT DISTINCT canvas_path AS file, cards AS t FROM canvases WHERE canvas_path IS NOT NULL QUALIFY rank() OVER (PARTITION BY canvas_path ORDER BY revision DESC, loaded_at DESC) = 1),
+tops AS (SELECT file, 'page' AS top, 'section' AS kind, t::JSON AS x FROM last_pages WHERE json_valid(t) UNION ALL SELECT file, 'canvas', 'card', t::JSON FROM last_boards WHERE json_valid(t)),
+nodes AS (
+  SELECT file, kind, top AS parent_kind, -1::BIGINT AS parent_line, NULL::VARCHAR AS card, unnest({_LIST}) AS s FROM tops
+  UNION ALL
+  SELECT file, label, kind, CASE WHEN kind = 'card' THEN -1 ELSE (s->>'$."$position".start')::BIGINT END, CASE WHEN kind = 'card' THEN s->>'$."$id"' ELSE card END, unnest({_LIST})
+  FROM (SELECT n.*, l.label, json_extract(n.s, l.path) AS x FROM nodes n, (VALUES ('section', '$."$sections"'), ('block', '$."$blocks"'), ('item', '$."$elements"')) AS l(label, path) WHERE json_type(n.s) = 'OBJECT') WHERE x IS NOT NULL
+)
+SELECT file AS file_path, coalesce(CASE WHEN kind = 'card' THEN s->>'$."$id"' ELSE card END, '') AS card_id, kind AS node_kind, CASE WHEN kind = 'card' THEN -1 ELSE (s->>'$."$position".start')::BIGINT END AS node_line, parent_kind, parent_line FROM nodes WHERE json_type(s) = 'OBJECT'
+"""
+_FILLED = r"""WITH pages AS (SELECT page_path AS page, lower(trim(entry_key)) AS k, entry_value AS v FROM page_fields WHERE page_path IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY page_path, lower(trim(entry_key)) ORDER BY coalesce(revision, -4611686018427387904) DESC, origin = 'frontmatter' DESC, coalesce(line_no, 2147483647), field_id) = 1)
+SELECT k AS field_key, count(*) AS pages FROM pages WHERE k IN (SELECT lower(trim(field_key)) FROM field_types WHERE field_type IN ('text', 'list', 'number', 'boolean'))
+AND v IS NOT NULL AND json_type(v) <> 'NULL' AND NOT (json_type(v) = 'VARCHAR' AND regexp_matches(v->>'$', '^[\s\x{A0}\x{2000}-\x{200B}\x{3000}\x{FEFF}]*$')) GROUP BY 1"""
 SQL: dict[str, str] = {
+    "p1_filled": _FILLED,
+    "p4_found": _NODES,
     "p2_found": _ORPHANS + "SELECT ref_table, ref_file, ref_key, orphan_kind FROM r",
     "p2_report": _ORPHANS + "SELECT ref_table, strftime(t0, '%Y-%m') AS month, orphan_kind, count(*) AS n FROM r GROUP BY ALL",
 }
