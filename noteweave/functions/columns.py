@@ -12,6 +12,7 @@ from noteweave.common import let
 from noteweave.functions.interpreter import VECTOR
 from noteweave.functions.literals import UNITS
 from noteweave.plans import expressions as X
+from noteweave.plans.parser import UNITS as UNIT_NAMES
 from noteweave.plans.expressions import BOOLEAN, DATE, DURATION, LINK, NULL, NUMBER, STRING, Fn, Kind, NotStatic, Val, array_of, boolean, null, number, string
 
 COLUMNS: dict[str, Callable[..., Val]] = {}
@@ -150,7 +151,7 @@ def _date(v, fmt=None):
     return Val(F.when(trimmed.rlike(_ISO), full.try_cast("timestamp")), DATE)
 
 
-_DUR_UNITS = {"years": "years|year|yrs|yr", "months": "months|month|mos|mo", "weeks": "weeks|week|wks|wk|w", "days": "days|day|d", "hours": "hours|hour|hrs|hr|h", "minutes": "minutes|minute|mins|min|m", "seconds": "seconds|second|secs|sec|s"}
+_DUR_UNITS = {u: "|".join(sorted(names, key=len, reverse=True)) for u, names in UNIT_NAMES.items()}
 
 
 @column("dur")

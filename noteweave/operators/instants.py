@@ -68,10 +68,13 @@ def bare_text(c: Column) -> Column:
 
 def _instant(f: Column, home: Column, regions: Column) -> Column:
     """UTC milliseconds of the fields ``f`` of a notation; null if they are no valid moment."""
-    number = lambda i: F.coalesce(F.get(f, i).try_cast("int"), F.lit(0))
+    # patterns let digits through only; a try_cast that fails makes an exception, which costs more than all else here
+    whole = lambda c: F.when(c != "", c).cast("int")
+    number = lambda i: F.coalesce(whole(F.get(f, i)), F.lit(0))
     month = F.get(f, 1)
     month = F.when(month.rlike("^[a-z]"), F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(month, 1, 3)).cast("string")).otherwise(month)
-    date = F.concat_ws("-", F.get(f, 0), F.lpad(month, 2, "0"), F.lpad(F.get(f, 2), 2, "0")).try_cast("date")
+    valid = whole(month).between(1, 12) & whole(F.get(f, 2)).between(1, 31)
+    date = F.when(valid, F.concat_ws("-", F.get(f, 0), F.lpad(month, 2, "0"), F.lpad(F.get(f, 2), 2, "0"))).try_cast("date")
     half, zone = F.get(f, 7), F.get(f, 8)
 
     def clock(hour: Column) -> Column:
@@ -80,7 +83,7 @@ def _instant(f: Column, home: Column, regions: Column) -> Column:
         return F.when((hour < 24) & (number(4) < 60) & (number(5) < 60) & ((half == "") | hour.between(1, 12)), ms)
 
     digits = F.regexp_replace(zone, ":", "")
-    off_hour, off_minute = F.substring(digits, 2, 2).try_cast("int"), F.coalesce(F.substring(digits, 4, 2).try_cast("int"), F.lit(0))
+    off_hour, off_minute = whole(F.substring(digits, 2, 2)), F.coalesce(whole(F.substring(digits, 4, 2)), F.lit(0))
     offset = F.when(zone.isin("z", "utc", "gmt"), F.lit(0)).when(zone.rlike(r"^[+-]") & (off_hour <= 18) & (off_minute < 60), (off_hour * 60 + off_minute) * F.when(zone.startswith("-"), -1).otherwise(1))
     region = F.when(zone == "", home).otherwise(F.try_element_at(regions, F.regexp_replace(zone, r"[\[\]]", "")))
     # to_utc_timestamp takes the first of two equal local times, and the offset before a skipped one

@@ -22,23 +22,23 @@ _TRUE, _FALSE = ["true", "yes", "on", "1"], ["false", "no", "off", "0"]
 SQL_TYPES = {"text": "string", "list": "array<string>", "number": "double", "boolean": "boolean", "date": "timestamp", "duration": "double", "link": "string"}
 
 
-def parsed(value: Column) -> Column:
-    """struct<what,text,literal> of a JSON literal; null if it is SQL null, JSON null or a blank text.
+def parsed(cells: DataFrame, value: str) -> DataFrame:
+    """``cells`` with p: struct<what,text,literal> of the JSON literal ``value``; null if it is SQL null, JSON null or a
+    blank text.
 
     ``what`` is object, list, text, number or boolean; what isn't JSON is a text. ``text`` is the content
-    of a text, any other literal as it is written, without outer blanks.
+    of a text, any other literal as it is written, without outer blanks. Each step is a projection of its own, which
+    Spark compiles and evaluates once.
     """
-
-    def of(v: Column) -> Column:
-        first = F.substring(v, 1, 1)
-        what = (
-            F.when(first == "{", "object").when(first == "[", "list").when(first == '"', "text").when(v.isin("true", "false"), "boolean")
-            .when(v.rlike(r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"), "number").otherwise("text")
-        )
-        text = F.when(first == '"', strip(F.coalesce(F.get_json_object(v, "$"), v))).otherwise(v)
-        return F.when(v != "null", let(F.struct(what.alias("what"), text.alias("text"), v.alias("literal")), lambda x: F.when(x["text"] != "", x)))
-
-    return let(strip(value), of)
+    v, first = F.col("_literal"), F.col("_first")
+    what = (
+        F.when(first == "{", "object").when(first == "[", "list").when(first == '"', "text").when(v.isin("true", "false"), "boolean")
+        .when(v.rlike(r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"), "number").otherwise("text")
+    )
+    text = F.when(first == '"', strip(F.coalesce(F.get_json_object(v, "$"), v))).otherwise(v)
+    steps = cells.withColumn("_literal", strip(F.col(value))).withColumn("_first", F.substring("_literal", 1, 1)).withColumns({"_what": what, "_text": text})
+    filled = (v != "null") & (F.col("_text") != "")
+    return steps.withColumn("p", F.when(filled, F.struct(F.col("_what").alias("what"), F.col("_text").alias("text"), v.alias("literal")))).drop("_literal", "_first", "_what", "_text")
 
 
 def typed(p: Column, kind: str, zone: Column, regions: Column) -> Column:
@@ -122,7 +122,9 @@ def wide_table(cells: DataFrame, columns: dict[str, str], *, entity: str, attrib
     regions, kinds = region_map(spark), sorted(set(columns.values()))
     by_kind = {k: [a for a, b in columns.items() if b == k] for k in kinds}
     home = F.lit("") if source is None else F.coalesce(F.col(source).cast("string"), F.lit(""))
-    cell = cells.where(F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), F.col(attribute).alias("_a"), parsed(F.col("value")).alias("p"), F.col(zone).alias("zone"), home.alias("source"))
+    own = F.when(F.col(attribute).isin(*columns), F.col("value")) if columns else F.lit(None).cast("string")
+    cell = cells.where(F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), F.col(attribute).alias("_a"), own.alias("_value"), F.col(zone).alias("zone"), home.alias("source"))
+    cell = parsed(cell, "_value").drop("_value")
     kept = cell.withColumn("_a", F.when(F.col("_a").isin(*columns) & F.col("p").isNotNull(), F.col("_a")))
     each = [F.when(F.col("_a").isin(*by_kind[k]), typed(F.col("p"), k, F.col("zone"), regions)).alias(f"_t{at}") for at, k in enumerate(kinds)]
     stored = shelve(kept.select("_e", "_a", "source", *each), "cells", partition_by="_a")
