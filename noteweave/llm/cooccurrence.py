@@ -76,6 +76,11 @@ def solve_fitness(freq: np.ndarray, y: np.ndarray, basket_n: np.ndarray, start:
     return x
 
 
+def _dot(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """q @ m on the worker's own core: a BLAS with threads of its own would fight with the other workers."""
+    return np.einsum("ij,j->i", q, m)
+
+
 def log_upper_tail(n: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     """log10 P(K >= n) for K a sum of ``m[s]`` Bernoulli trials of probability ``q[:, s]`` each.
 
@@ -84,9 +89,10 @@ def log_upper_tail(n: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     the Fourier transform of the characteristic function gives; others are near enough to normal.
     """
     out = np.zeros(len(n))
-    mean, sd = q @ m, np.sqrt(((q * (1 - q)) @ m).clip(1e-12))
+    mean, sd = _dot(q, m), np.sqrt(_dot(q * (1 - q), m).clip(1e-12))
     above = n - 0.5 > mean + np.minimum(1.0, 0.5 * sd)
-    for rows, tail in ((above, lambda r: _saddle(n[r].astype(float), q[r], m)), (~above & (mean < 60), lambda r: _transformed(n[r], q[r], m))):
+    few, some = ~above & (mean < 12), ~above & (mean >= 12) & (mean < 60)
+    for rows, tail in ((above, lambda r: _saddle(n[r].astype(float), q[r], m)), (few, lambda r: _transformed(n[r], q[r], m, 64)), (some, lambda r: _transformed(n[r], q[r], m))):
         at = np.flatnonzero(rows)
         for block in np.array_split(at, len(at) // 500 + 1):
             if len(block):
@@ -110,15 +116,15 @@ def _saddle(n: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     for _ in range(60):
         e = q * np.exp(t)[:, None]
         r = e / (1 - q + e)
-        step = (r @ m - at) / ((r * (1 - r)) @ m).clip(1e-12)
+        step = (_dot(r, m) - at) / _dot(r * (1 - r), m).clip(1e-12)
         t -= step.clip(-1, 1)
         if np.abs(step).max(initial=0) < 1e-10:
             break
     e = q * np.exp(t)[:, None]
     r = e / (1 - q + e)
-    cumulant = np.log(1 - q + e) @ m
+    cumulant = _dot(np.log(1 - q + e), m)
     w = np.sign(t) * np.sqrt((2 * (t * at - cumulant)).clip(1e-12))
-    u = 2 * np.sinh(t / 2) * np.sqrt((r * (1 - r)) @ m)
+    u = 2 * np.sinh(t / 2) * np.sqrt(_dot(r * (1 - r), m))
     log_tail = _log10_normal_tail(w) * np.log(10)
     density = -0.5 * w * w - 0.5 * np.log(2 * np.pi)
     extra = np.exp((density - log_tail).clip(max=700)) * (1 / u - 1 / w)
@@ -182,11 +188,14 @@ def surprising_pairs(baskets: DataFrame, *, min_count: int = 3, min_share: float
         for d in batches:
             xa, xb = (fitness.reindex(d[c]).to_numpy()[:, None] * y[None, :] for c in ("n_a", "n_b"))
             q = xa / (1 + xa) * (xb / (1 + xb))
-            yield d.assign(expected=q @ g_n, log10_p=log_upper_tail(d["n"].to_numpy(), q, g_n))
+            yield d.assign(expected=_dot(q, g_n), log10_p=log_upper_tail(d["n"].to_numpy(), q, g_n))
 
     n_a, n_b = (freq.select(F.col("item").alias(c), F.col("freq").alias(f"n_{c}")) for c in "ab")
     counted = pair_counts(clean).join(n_a, "a").join(n_b, "b").withColumn("lift", F.col("n").cast("double") * total / (F.col("n_a").cast("double") * F.col("n_b")))
     counted = counted.select("a", "b", "n", "n_a", "n_b", F.lit(total).cast("long").alias("baskets"), "lift")
+    # tails cost far more than their rows weigh, so rows are spread over all cores whatever their size
+    context = clean.sparkSession.sparkContext
+    counted = counted.repartition(max(context.defaultParallelism, int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a", "b")
     tested = shelve(counted.mapInPandas(tails, "a string, b string, n long, n_a long, n_b long, baskets long, lift double, expected double, log10_p double"), "pairs")
     kinds = int(freq_rows["n"].sum()) if total else 0
     least = max(min_count, min_share * total * (1 - 1e-9))
